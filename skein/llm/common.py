@@ -79,3 +79,19 @@ def range_bucket(df: DataFrame, key: str, n: int) -> Column:
     within = F.floor((value - lo).cast("double") / F.greatest(hi - lo, F.lit(1)).cast("double") * parts)
     within = F.greatest(F.lit(0), F.least(F.lit(parts - 1), within))
     return F.when(value.isNull(), -1).otherwise(leaf * parts + within).cast("long")
+
+
+#: Rows in an Arrow batch that a Python worker gets at once: whole texts, some of them long.
+BATCH_ROWS = 1000
+
+
+def python_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def held_out(key: str, folds: int, held: int) -> Column:
+    """Whether crc32 of the key as text falls in the held-out fold; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held, F.lit(False))
