@@ -151,6 +151,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, a digest of the base listing, the listing of all spans."""
     found = find_pii(docs.select("doc_id", "text")).select("doc_id", "findings")
-    counts = [F.size(F.filter("findings", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    of = lambda i: F.filter("findings", lambda s: s["rank"] == i)
+    counts = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     base = F.filter("findings", lambda s: s["rank"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("findings")).alias("spans"))
