@@ -4,32 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import langid, pii, quality, tokens
+from skein.llm import decontaminate, fingerprints, html, langid, packing, pii, quality, simjoin, tokens, toxicity
 from skein.llm.common import table
-from skein.llm.fingerprints import edited_fingerprints
 
 
-def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.report(table(spark, sf_dir, "documents"))
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
 
-    return tokens.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op10_language": op10_language, "op6_quality": op6_quality, "op2_pii": op2_pii, "op9_fingerprints": op9_fingerprints}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_pii, op3_html, op4_toxicity, op5_decontaminate, op6_quality, op7_jaccard, op8_packing, op9_fingerprints, op10_language)}
 ORACLES: dict[str, str] = {}
