@@ -1,19 +1,59 @@
-"""A corpus pipeline over documents: each stage is one of the operators in skein.llm, its output written and read again."""
+"""A corpus pipeline over documents: each stage is one of the operators in skein.llm, its output written and read again.
+
+Quality rules drop bad documents; of each group of near copies one stays; documents that hold a benchmark item go;
+personal data is masked; what is left is packed into sequences. Each stage gets all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import decontaminate, packing, pii, quality, simjoin
+from skein.llm.common import staged, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the labelled ones, does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join (five words, a similarity of 0.8)."""
+    return simjoin.keep_one(docs, n=5, percent=80)
+
 
-STAGES: list = []
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked, n_chars anew where the text changed."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("PII", personal_data),
+    ("best-fit packing", best_fit),
+]
+#: SQL can express neither the trained rules nor components; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skein.llm.common import staged, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = staged(docs, name)
+            docs = staged(docs, name.replace(" ", "-"))
     return docs
