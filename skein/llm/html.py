@@ -125,8 +125,11 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     reader = _Reader()
+    html = html or ""
+    if (open_ := html.rfind("<!--")) >= 0 and "-->" not in html[open_:]:  # a comment that is never closed
+        html = html[:open_]
     try:
-        reader.feed(html or "")
+        reader.feed(html)
         reader.close()
     except AssertionError:  # markup that the parser gives up on: what came before it counts
         pass
