@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,12 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
     }
     return SparkSession.builder.master(master).config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def share_path(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it (on a cluster it is installed, or sent with
+    the job)."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
