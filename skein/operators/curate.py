@@ -45,40 +45,42 @@ def route(df: DataFrame, key: Column, rules: list[tuple[str, str, str]], recipes
     return df.withColumn("role", role).withColumn("recipe", reduce(lambda c, r: F.when(F.col("role") == r[0], r[1]).otherwise(c), recipes.items(), recipes[default]))
 
 
-def ranked(df: DataFrame, order: list[Column | str], name: str = "rn") -> DataFrame:
-    """df with a global rank from 1, without moving all rows to one task.
+def running_before(df: DataFrame, order: list[Column | str], cost: Column, name: str = "before") -> DataFrame:
+    """df with the sum of cost over all rows before this one in a total order, without moving all rows to one task.
 
-    Rows are dealt into ranges and sorted there; a row's rank is its place in its range plus the sizes of the ranges
-    before, which are as few as there are partitions.
+    Rows are dealt into ranges of the order (a fixed number of them, so that adaptive plans leave them as they are) and
+    summed there; the sums of the ranges before are added, as few rows as there are ranges.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)
-    within = dealt.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    sizes = within.groupBy("_part").agg(F.max("_place").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    dealt = df.withColumn("_cost", cost).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    sums = dealt.groupBy("_part").agg(F.sum("_cost").alias("_sum"))
+    upto = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("_cost").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn(name, own).join(F.broadcast(sums.select("_part", upto.alias("_upto"))), "_part")
+    return out.withColumn(name, F.col(name) + F.col("_upto")).drop("_part", "_cost", "_upto")
+
+
+def ranked(df: DataFrame, order: list[Column | str], name: str = "rn") -> DataFrame:
+    """df with a global rank from 1 in a total order."""
+    return running_before(df, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
 def kth_split(df: DataFrame, key: str, n_eval: int) -> DataFrame:
     """df with is_eval: every k-th row by key, k from the table's size, up to n_eval of them."""
-    total = df.count()
-    k = max(1, total // max(1, n_eval))
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(key))) if total <= 10_000 else ranked(df, [key])
+    k = max(1, df.count() // max(1, n_eval))
     at = F.col("rn") - 1
-    return numbered.withColumn("is_eval", (at % k == 0) & (at < k * n_eval)).drop("rn")
+    return ranked(df, [key]).withColumn("is_eval", (at % k == 0) & (at < k * n_eval)).drop("rn")
 
 
 def systematic_sample(df: DataFrame, order: list[str], step: int) -> DataFrame:
     """Every step-th row from the first on, counted over all splits in order."""
-    w = Window.orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") - 1) % step == 0).drop("rn")
+    return ranked(df, order).filter((F.col("rn") - 1) % step == 0).drop("rn")
 
 
 def round_robin(df: DataFrame, group: str, quality: Column, cost: str, budget: float, tie: str) -> DataFrame:
     """Rows taken in turn from each group, best first, until their cost reaches the budget (the one that crosses it is in)."""
     one = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(quality, tie)))
-    before = F.coalesce(F.sum(cost).over(Window.orderBy("turn", group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return one.withColumn("before", before).filter(F.col("before") < budget)
+    return running_before(one, ["turn", group], F.col(cost)).filter(F.col("before") < budget)
 
 
 def largest_per_group(df: DataFrame, group: str, name: str, size: str) -> DataFrame:

@@ -134,8 +134,7 @@ def kth_split(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) AS n FROM documents) WHERE (n - 1) % 7 = 0")
 def systematic_sample(t: Tables) -> DataFrame:
-    ranked = curate.ranked(t.documents.select("doc_id", "lang"), ["lang", "doc_id"])
-    return ranked.filter((F.col("rn") - 1) % 7 == 0).select("doc_id")
+    return curate.systematic_sample(t.documents.select("doc_id", "lang"), ["lang", "doc_id"], 7).select("doc_id")
 
 
 @query(CLIPS + """, r AS (SELECT id, book, dur, row_number() OVER (PARTITION BY book ORDER BY score DESC, id) AS turn FROM clips WHERE score >= -0.9::DOUBLE AND dur BETWEEN 4 AND 300),
