@@ -7,9 +7,11 @@ leave some segment with a difference of at most its t. A set allocates its h + 1
 one-deletions are indexed) for one that differs by one element; costly segments, empty ones above all, get none.
 
 Signatures travel as packed blocks of numbers, dealt by their hash. Where k sets share a signature, only the k - 1 pairs
-with the least set that asked are proposed; pairs of a failed proposal's group are proposed later, and only while their
-components differ. So copies and near copies cost links in proportion to their number, and no link that decides a
-component is lost. Equal sets are one set from the start.
+with the least set that asked are proposed. Where such a proposal fails, the group's other pairs are looked at later, and
+only those whose components differ and whose histograms (counts of elements by the top bits of their hashes) differ by no
+more than the bound on the symmetric difference become proposals: histograms never differ by more than the sets do. So
+copies and near copies cost proposals in proportion to their number, and no link that decides a component is lost. Equal
+sets are one set from the start.
 
 Defined results: null and empty texts have the empty set and link with nothing; rows with a null key are returned as
 components of their own (null); repeated keys are one node with the links of each of their rows.
@@ -17,6 +19,7 @@ components of their own (null); repeated keys are one node with the links of eac
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import maybe_broadcast, partitions, python_batches, staged
+from skein.llm.common import discard, maybe_broadcast, partitions, python_batches, staged
 from skein.llm.graph import components
 from skein.llm.shingles import mix, shingle_sets
 
@@ -170,7 +173,8 @@ def _proposals(docs: DataFrame, n: int, percent: int, top: int) -> DataFrame:
             some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
             low, mid = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), ((keys >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2")
             part = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-            name = names.astype("<i8").tobytes()
+            # ids ascend for the most part, so their steps are small
+            name = zlib.compress(np.diff(names, prepend=0).astype("<i8").tobytes(), 1)
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), part(low), part(mid), part(refs.astype("<u2")), pa.array([name] * len(some), pa.binary())], ["bucket", "low", "mid", "refs", "ids"])
 
         for b in batches:
@@ -198,7 +202,7 @@ def _proposals(docs: DataFrame, n: int, percent: int, top: int) -> DataFrame:
         for r in t.to_batches():
             for low, mid, refs, ids in zip(*(r.column(c) for c in ("low", "mid", "refs", "ids")), strict=True):
                 low, mid, refs = (np.frombuffer(x.as_buffer(), k) for x, k in ((low, "<u4"), (mid, "<u2"), (refs, "<u2")))
-                doc = np.frombuffer(ids.as_buffer(), "<i8")[refs & (_ASKS - 1)]
+                doc = np.cumsum(np.frombuffer(zlib.decompress(ids.as_py()), "<i8"))[refs & (_ASKS - 1)]
                 got.append((low.astype(np.uint64) | (mid.astype(np.uint64) << np.uint64(32)), doc, refs & (_ASKS | _HAS)))
         key, doc, role = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
@@ -225,21 +229,27 @@ def _proposals(docs: DataFrame, n: int, percent: int, top: int) -> DataFrame:
     return spread
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with ok: whether their sets link."""
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(maybe_broadcast(wanted, BROADCAST_IDS), "doc_id", "left_semi")
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int, name: str) -> DataFrame:
+    """name (an id), h_<name> (the set's hashes) of the documents with those ids; texts are read, not sent."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, at = shingle_sets(b.column("text"), n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)], pa.binary())], ["doc_id", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)], pa.binary())], [name, f"h_{name}"])
+
+    texts = docs.join(maybe_broadcast(ids.withColumnRenamed(name, "doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    return texts.mapInArrow(run, f"{name} long, h_{name} binary")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with ok: whether their sets link. Only sets that are in a pair are made, and those of b are sent to
+    a's place once a pair."""
+    pairs = staged(pairs.select("a", "b"), "pairs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column("ha"), b.column("hb"), strict=True):
+            for x, y in zip(b.column("h_a"), b.column("h_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(small) < percent * len(large) or not len(small):
@@ -250,9 +260,83 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    have = staged(texts.mapInArrow(sets, "doc_id long, h binary"), "sets")
-    left, right = (have.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
-    return staged(pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long, ok boolean"), "verified")
+    theirs = _sets_of(docs, pairs.select("b").distinct(), n, "b").join(maybe_broadcast(pairs, BROADCAST_IDS), "b")
+    both = theirs.join(_sets_of(docs, pairs.select("a").distinct(), n, "a"), "a")
+    out = staged(both.select("a", "b", "h_a", "h_b").mapInArrow(compare, "a long, b long, ok boolean"), "verified")
+    discard(pairs)
+    return out
+
+
+def _width(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Cells of a histogram: a power of two, four times the bound for two such sets, so that few differences cancel."""
+    bound = (100 - percent) * 2 * sizes // (100 + percent)
+    return np.maximum(128, 1 << np.ceil(np.log2(np.maximum(4 * bound, 1))).astype(np.int64))
+
+
+def _histograms(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, cells (counts up to 255)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, at = shingle_sets(b.column("text"), n)
+            sizes = np.diff(at)
+            cells = []
+            for k, w in enumerate(_width(sizes, percent)):
+                place = (h[at[k] : at[k + 1]] >> np.uint64(64 - int(w).bit_length() + 1)).astype(np.int64)
+                cells.append(np.minimum(np.bincount(place, minlength=w), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(cells, pa.binary())], ["doc_id", "n_shingles", "cells"])
+
+    texts = docs.join(maybe_broadcast(ids, BROADCAST_IDS), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, cells binary")
+
+
+def close_pairs(component: np.ndarray, sizes: np.ndarray, cells: list[bytes], asks: np.ndarray, has: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (one asks, the other has) of different components that may link by their histograms."""
+    width = min(map(len, cells))
+    rows = [np.frombuffer(c, np.uint8) for c in cells]
+    # wider histograms are folded; sums may pass 255
+    table = np.stack([r if len(r) == width else np.minimum(r.reshape(width, -1).sum(1, dtype=np.uint16), 255).astype(np.uint8) for r in rows])
+    left, right = [], []
+    owners = np.flatnonzero(has)
+    held = table[owners]
+    for i in np.flatnonzero(asks):
+        ok = component[owners] != component[i]
+        small, large = np.minimum(sizes[owners], sizes[i]), np.maximum(sizes[owners], sizes[i])
+        ok &= 100 * small >= percent * large
+        k = np.flatnonzero(ok)
+        if len(k):
+            x = held[k]
+            apart = (np.maximum(x, table[i]) - np.minimum(x, table[i])).sum(1, dtype=np.int64)
+            k = k[apart <= (100 - percent) * (sizes[owners[k]] + sizes[i]) // (100 + percent)]
+            left.append(np.full(len(k), i))
+            right.append(owners[k])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _cross(docs: DataFrame, inside: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs a, b left to try in groups with a failed proposal. Rows: head, other, asks, has, component.
+
+    Groups with one head are taken as one: their pairs are among its pairs, and each set's histogram is sent once.
+    """
+    buckets = 4 * partitions(docs.sparkSession)
+    cells = _histograms(docs, inside.select(F.col("other").alias("doc_id")).distinct(), n, percent)
+    rows = inside.join(cells.withColumnRenamed("doc_id", "other"), "other").withColumn("bucket", F.pmod(F.xxhash64("head"), F.lit(buckets)))
+
+    def run(t: pa.Table) -> pa.Table:
+        head, other, component, sizes = (t.column(c).to_numpy() for c in ("head", "other", "component", "n_shingles"))
+        asks, has = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "has"))
+        cells = t.column("cells").to_pylist()
+        order = np.lexsort((other, head))
+        got = [np.zeros((0, 2), np.int64)]
+        for k in np.split(order, np.flatnonzero(np.diff(head[order]) != 0) + 1):
+            i, j = close_pairs(component[k], sizes[k], [cells[x] for x in k], asks[k], has[k], percent)
+            a, b = other[k[i]], other[k[j]]
+            got.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(got), axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -286,13 +370,14 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     failed = _apart(tried.unionAll(again).filter("not ok").select("a", "b"), label)
     large = groups.filter("size > 2")
     broken = large.select("signature", "head", *pair("head", "other")).join(failed, ["a", "b"], "left_semi").select("signature", "head").distinct()
-    inside = staged(large.join(broken, ["signature", "head"], "left_semi"), "broken-groups")
+    inside = large.join(broken, ["signature", "head"], "left_semi").groupBy("head", "other").agg(F.max("asks").alias("asks"), F.max("has").alias("has"))
+    inside = staged(inside, "broken-groups")
     if not inside.isEmpty():
         of = inside.join(label.select(F.col("id").alias("other"), "component"), "other", "left").withColumn("component", F.coalesce("component", "other"))
-        x, y = of.filter("asks").alias("x"), of.filter("has").alias("y")
-        cross = x.join(y, ["signature", "head"]).filter("x.component != y.component").select(*pair(F.col("x.other"), F.col("y.other"))).distinct()
+        cross = _cross(docs, of, n, percent)
         last = _verified(docs, cross.join(tried.unionAll(again), ["a", "b"], "left_anti"), n, percent)
         linked = linked.unionAll(last.filter("ok"))
+    discard(groups, inside)
     every = linked.select("a", "b").unionAll(copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
     label = components(every)
     return sets.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
