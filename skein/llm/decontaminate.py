@@ -36,7 +36,7 @@ def words(text: Column) -> Column:
 
 
 def shingles(w: Column) -> Column:
-    """Hashes of the five-word shingles of an array of words, in order."""
+    """Hashes of the five-word shingles of an array of words, in order; w must be a plain column, as each step reads it."""
     some = F.slice(w, F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(0)))
     return F.transform(some, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WORDS)]))
 
@@ -45,11 +45,9 @@ def simhash(rows: DataFrame, keys: list[str], shingle: str) -> DataFrame:
     """keys and simhash, from a row for each shingle of each key."""
     votes = [F.sum(F.shiftright(F.col(shingle), b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
     got = rows.groupBy(*keys).agg(F.count("*").alias("n"), *votes)
-    value = F.lit(0).cast("long")
-    for b in range(BITS):
-        bit = F.shiftleft(F.lit(1).cast("long"), b)
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), bit).otherwise(F.lit(0).cast("long")))
-    return got.select(*keys, value.alias("simhash"))
+    bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), 1 << b if b < 63 else -(1 << 63)).otherwise(0) for b in range(BITS)]
+    # a table of its own: every block of the value would repeat this expression
+    return staged(got.select(*keys, F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda v, x: v.bitwiseOR(x)).alias("simhash")), "simhashes")
 
 
 def block(h: Column, k: int) -> Column:
@@ -63,11 +61,6 @@ def near_values() -> list[int]:
     return [sum(1 << i for i in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(size), d)]
 
 
-def counts(s: Column) -> Column:
-    """A multiset of longs in order."""
-    return F.array_sort(s)
-
-
 def multiset_jaccard(x: Column, y: Column) -> Column:
     """Sum of the lesser counts over that of the greater ones: with as many shingles in both, from the common part."""
     times = lambda a, v: F.size(F.filter(a, lambda z: z == v))
@@ -86,13 +79,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _items(benchmark)
     lead = items.select("item_id", "n_words", F.posexplode("shingles").alias("place", "shingle"))
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    each = texts.select("doc_id", F.posexplode(shingles(words(F.col("text")))).alias("at", "shingle"))
+    each = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(shingles(F.col("w"))).alias("at", "shingle"))
     hits = each.join(maybe_broadcast(lead, BROADCAST_ROWS), "shingle")
     starts = hits.select("doc_id", "n_words", F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start")).distinct()
     starts = staged(starts, "window-starts")
     # the windows themselves: only the texts that have any are read again
     found = starts.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("windows"))
-    whole = texts.join(maybe_broadcast(found, BROADCAST_ROWS // 4), "doc_id").select("doc_id", "windows", shingles(words(F.col("text"))).alias("s"))
+    whole = texts.join(maybe_broadcast(found, BROADCAST_ROWS // 4), "doc_id").select("doc_id", "windows", words(F.col("text")).alias("w")).select("doc_id", "windows", shingles(F.col("w")).alias("s"))
     # a window that would end after the text is moved back to end with it
     first = lambda w: F.greatest(F.least(w["start"], F.size("s") - (w["n_words"] - (WORDS - 1))), F.lit(0))
     cut = F.array_distinct(F.transform("windows", lambda w: F.struct(first(w).alias("start"), F.slice(F.col("s"), first(w) + 1, w["n_words"] - (WORDS - 1)).alias("own"))))
