@@ -21,20 +21,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import partitions, python_batches, range_bucket, scratch
+from skein.llm.common import partitions, python_batches, range_bucket, scratch, staged
 
 BLOCK_IDS = 1 << 16
-#: Pieces of text whose ids a worker keeps.
-CACHE = 400_000
-#: The usual split of byte-level BPE; each piece is encoded for itself.
-_PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Words whose ids a worker keeps, and how many of them when they are too many.
+CACHE, KEEP = 1_000_000, 300_000
+#: Where a text may not be cut before single spaces and line ends: their pieces depend on their neighbours.
+_RUNS = ("  ", " \n", "\n ", "\n\n\n")
 BLOCKS = "shard long, block long, first long, bits int, n_ids int, payload binary, doc_ids array<long>, lengths array<long>, spill int"
 
 
@@ -60,36 +61,97 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
     return (raw.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-class Encoder(dict):
-    """Text to ids as little-endian bytes; ids of pieces met before are kept."""
+class Encoder:
+    """Texts to ids as little-endian bytes; the ids of words met before are kept.
+
+    A byte-level tokenizer without a normaliser never joins what stands before a single space or line end with what
+    follows, so a text is cut there, and only words not met before go through the library, many in one call. With any
+    other tokenizer, and where a text holds a special token, other white space or longer runs of it, the library gets
+    the text as a whole.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = self._by_pieces()
-
-    def _by_pieces(self) -> bool:
-        """Whether ids of a text are those of its pieces: byte-level pieces, nothing put before, no normaliser."""
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CACHE:
-            self[piece] = ids
-        return ids
+        self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.begins = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token[:1] in "\u0120\u010a"  # how byte-level vocabularies write a space and a line end
+        self.known: dict[str, bytes] = {}
+        self.ends = {x: self._ids(x).tobytes() for x in ".,"} if self.cuts else {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, fresh: set[str]) -> set[str]:
+        """Learns the ids of new words, all but those with other white space, which are returned.
+
+        A word stands for itself after a space, or, with the mark \\0, at the beginning of a text; one that begins with a
+        line end has no space. Encoded as one text, each begins where a token has the space or line end.
+        """
+        odd = {w for w in fresh if not w.isprintable() and not (w[0] in "\n\0" and w[1:].isprintable())}
+        heads = [w for w in fresh if w[:1] == "\0" and w not in odd]
+        plain, tailed = [], []
+        for w in fresh:
+            # a comma or full stop after a letter is a piece of its own
+            if w[-1:] in self.ends and w[-2:-1].isalpha():
+                tailed.append(w)
+            elif w[:1] != "\0" and w not in odd:
+                plain.append(w)
+        tailed = [w for w in tailed if w not in odd and w[0] != "\0"]
+        plain += {w[:-1] for w in tailed}.difference(self.known, plain)
+        for k in range(0, len(plain), 4000):
+            some = plain[k : k + 4000]
+            ids = self._ids("".join([w if w[:1] == "\n" else " " + w for w in some]))
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some):
+                raw, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                self.known.update(zip(some, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+            else:
+                odd.update(some)
+        for w in tailed:
+            if (core := self.known.get(w[:-1])) is None:
+                odd.add(w)
+            else:
+                self.known[w] = core + self.ends[w[-1]]
+        for w in heads:
+            self.known[w] = self._ids(w[1:]).tobytes()
+        return odd
+
+    def _cut(self, text: str) -> list[str] | None:
+        if not self.cuts or text.endswith((" ", "\n\n")) or any(x in text for x in _RUNS) or any(x in text for x in self.special):
+            return None
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\0" + out[0]
+        return out
 
-    def encode(self, text: str) -> bytes:
-        if not self.pieces or any(s in text for s in self.special):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(texts), 200):
+            some = texts[k : k + 200]
+            cut = [self._cut(t) for t in some]
+            if len(self.known) > CACHE:
+                # words met first are the frequent ones
+                self.known = dict(islice(self.known.items(), KEEP))
+            get = self.known.get
+            got = [[] if c is None else list(map(get, c)) for c in cut]
+            gaps = [list(compress(range(len(g)), map(not_, g))) for g in got]
+            odd = self._learn({c[i] for c, at in zip(cut, gaps, strict=True) for i in at})
+            for t, c, g, at in zip(some, cut, got, gaps, strict=True):
+                if c is None or odd and not odd.isdisjoint(c):
+                    out.append(self._ids(t).tobytes())
+                else:
+                    for i in at:
+                        g[i] = get(c[i])
+                    out.append(b"".join(g))
+        return out
 
 
 @cache
@@ -136,12 +198,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None
         end, bits = np.asarray([end_id], "<u4").tobytes(), width(max(code.vocabulary, end_id + 1))
         made, now = [], None
         for b in batches:
-            for shard, doc, text in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "text")), strict=True):
+            codes = code.encode(b.column("text").to_pylist())
+            for shard, doc, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), codes, strict=True):
                 if now is None or now.shard != shard:
                     if now and now.docs or now and now.held:
                         made.append(now.close())
                     now = _Shard(shard, bits)
-                made += now.add(doc, np.frombuffer(code.encode(text) + end, "<u4"))
+                made += now.add(doc, np.frombuffer(ids + end, "<u4"))
                 if len(made) >= 16:
                     yield pa.RecordBatch.from_pylist(made, schema)
                     made = []
@@ -185,7 +248,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "at", "doc_id", "n", "have", "crc", "more"])
 
-    parts = spark_blocks.mapInArrow(run, "shard long, at long, doc_id long, n long, have long, crc long, more boolean")
+    parts = staged(spark_blocks.mapInArrow(run, "shard long, at long, doc_id long, n long, have long, crc long, more boolean"), "id-checks")
     whole = parts.filter("not more and have = n").select("shard", "at", "doc_id", "n", "crc")
     cut = parts.filter("more or have < n")
     # the pieces of a document that a block's end cuts: its head names it, the others follow in the shard

@@ -50,3 +50,9 @@ def test_table(spark, sf):
 
 def test_empty_table(spark):
     assert tokens.report(docs(spark, []), PATH).count() == 0
+
+
+def test_pieces_equal_the_library():
+    e, t = tokens.encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["½ of x² and Ⅷ ٣٤ १२", "a_b __c _", "\x1c\x1d x\x85y", " 　é\r\n\t z", "don't 'LL 'd''s", "..!?\n\n\n  a", "é é ñ́", "😀👍🏽", "<|endoftext|>", "x<|endoftext|> y", "", "   ", "ſt ʼs", "a\n\nb\n\n\nc", "a\n", "\na", " a", "a ", "a\n \nb", "a\x00b \x00", "\x00", "\u2003x y", "x\u2003 y", "tab\tin", "a\xa0 b", "\n", "\n\n", " "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
