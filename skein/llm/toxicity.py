@@ -2,13 +2,13 @@
 
 A suspicious stretch (letters mixed with look-alike digits and signs, single letters with separators between them, a
 letter three times or more) is a lattice: each sign may stand for itself, for a look-alike letter, or for nothing
-(separators, repeats). Viterbi's algorithm picks the likeliest letters under a trigram model of characters learned from
-the corpus' own words. Words of the text and of the restored stretches are then scored: a word's evidence is that of the
+(separators, repeats). Viterbi's algorithm picks the likeliest letters under a trigram model of characters counted over
+all words of all documents. Words of the text and of the restored stretches are then scored: a word's evidence is that of the
 word or of its beginning (PREFIXES letters), whichever tells most, and two numbers of each text, the greatest evidence
 and the logarithm of the sum, go through a logistic model.
 
-A fit reads at most MAX_TRAIN labelled rows (those with the least hash of the key) and holds at most MAX_FEATURES
-features. Defined results: null and empty texts have no evidence and get the lowest score; without labels of both classes
+The weights of evidence and the logistic model are fitted on at most MAX_TRAIN labelled rows (those with the least hash of
+the key) and at most MAX_FEATURES features; the trigram model has no such bound. Defined results: null and empty texts have no evidence and get the lowest score; without labels of both classes
 every score is 0; repeated rows keep their own result; further columns are ignored.
 """
 
@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MIN_SHARE = 0.6
 PREFIXES = (4, 5, 6, 7)
 #: Distinct words and stretches that a worker keeps the results of.
 CACHE = 300_000
+#: Distinct trigrams that a worker counts before it hands them on.
+FLUSH_GRAMS = 1_000_000
 #: Look-alikes of letters, and what the channel costs (log probabilities).
 LOOK = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -73,6 +76,15 @@ class Letters:
                     c[p[i - k : i] + "\0"] += n  # what a context was seen in all
         return cls(dict(c))
 
+    def plus(self, words: dict[str, int]) -> Letters:
+        """A model that has seen these words too."""
+        return Letters(dict(Counter(self.counts) + Counter(Letters.learn(words).counts)), self.size)
+
+    @property
+    def total(self) -> int:
+        """How many words were seen."""
+        return self.counts.get("^^\0", 0)
+
     def log(self, context: str, letter: str) -> float:
         p = 1 / (self.size * 4)
         for k in (0, 1, 2):
@@ -213,6 +225,62 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter as _WORD has it."""
+    return np.array([_WORD.match(chr(k)) is not None for k in range(0x110000)])
+
+
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of the words of a text (three code points in a number; ^^ begins a word, $ ends it) and their counts."""
+    codes = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    known = _letters()[codes]
+    at = np.flatnonzero(known[2:] | known[1:-1]) + 2
+    last = np.where(known[at], codes[at], ord("$"))
+    one = np.where(known[at - 1], codes[at - 1], ord("^"))
+    two = np.where(known[at - 1] & known[at - 2], codes[at - 2], ord("^"))
+    present = np.zeros(0x110000, bool)
+    for x in (last, one, two):
+        present[x] = True
+    alphabet = np.flatnonzero(present)
+    k = len(alphabet)
+    if k > 150:
+        return np.unique(two << 42 | one << 21 | last, return_counts=True)
+    place = np.cumsum(present) - 1
+    n = np.bincount((place[two] * k + place[one]) * k + place[last], minlength=k**3)
+    found = np.flatnonzero(n)
+    return alphabet[found // k**2] << 42 | alphabet[found // k % k] << 21 | alphabet[found % k], n[found]
+
+
+def language(docs: DataFrame) -> Letters:
+    """The trigram model of all words of all documents: workers count, only distinct grams with their sums reach the driver."""
+    python_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], ["gram", "n"])
+
+        for b in batches:
+            keys, n = trigrams("\n".join(filter(None, b.column("text").to_pylist())))
+            held.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+            if len(held) > FLUSH_GRAMS:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    every = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    c: Counter = Counter()
+    for r in every.toLocalIterator():
+        gram = "".join(chr(r["gram"] >> k & 0x1FFFFF) for k in (42, 21, 0))
+        for k in (0, 1, 2):
+            c[gram[k:]] += r["n"]
+            c[gram[k:2] + "\0"] += r["n"]
+    return Letters(dict(c))
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Model:
     """Learns from labels outside the held-out fold."""
     spark = docs.sparkSession
@@ -220,10 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, held))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_TRAIN)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most MAX_TRAIN rows of two integers
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    common = rows.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(20_000)
-    lexicon = {r["word"]: r["n"] for r in common.toLocalIterator()} or {"a": 1}
-    letters = Letters.learn(lexicon)
+    letters = language(docs)
     sent = spark.sparkContext.broadcast(letters)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
     weights = choose([(r["name"], r["pos"], r["neg"]) for r in top], whole["pos"], whole["neg"], seen)
     # a disguise hides such a word more often than any other, so the decoder expects them: a fiftieth of all words
     toxic_words = [f[1:] for f in weights if f[0] == "="]
-    letters = Letters.learn(lexicon | {w: lexicon.get(w, 0) + max(1, sum(lexicon.values()) // (50 * len(toxic_words))) for w in toxic_words})
+    letters = letters.plus({w: max(1, letters.total // (50 * len(toxic_words))) for w in toxic_words})
     sent = spark.sparkContext.broadcast(letters)
     bound = spark.sparkContext.broadcast(weights)
 
@@ -269,7 +334,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score."""
     spark = docs.sparkSession
     python_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights and the trigrams of 20,000 words
+    sent = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights and one count for each distinct gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

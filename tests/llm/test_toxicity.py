@@ -46,3 +46,15 @@ def test_corner_cases(spark, model):
     y = table(spark, BIG, "labels")
     assert tx.report(docs(spark, []), y).count() == 0
     assert rows(tx.report(docs(spark, ["a"]), y.limit(0)))[0]["score"] < 1e-9
+
+
+def test_language_of_all_documents(spark):
+    """Words count wherever they stand and however rare: in documents without a label, and once only."""
+    d = docs(spark, ["plain zqxj words", "zqxj 12a_b", None, "Kvyrn", "Éa İ слово 中文"])
+    letters = tx.language(d)
+    words = {"plain": 1, "zqxj": 2, "words": 1, "a": 1, "b": 1, "kvyrn": 1, "éa": 1, "i": 1, "слово": 1, "中文": 1}
+    assert letters.counts == tx.Letters.learn(words).counts and letters.total == 11
+    many = "".join(map(chr, range(0x4E00, 0x4F00)))
+    assert tx.trigrams(many)[1].sum() == 257 and len(tx.trigrams("")[0]) == 0
+    y = table(spark, BIG, "labels").filter("doc_id = 0")
+    assert tx.fit(d, y).letters.counts == letters.counts
