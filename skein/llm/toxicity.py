@@ -1,9 +1,10 @@
 """Toxicity: disguised words are decoded as through a noisy channel, then the restored text is scored.
 
 A suspicious stretch (letters mixed with look-alike digits and signs, single letters with separators between them, a
-letter three times or more) is a lattice: each sign may stand for itself, for a look-alike letter, or for nothing
+letter twice or more) is a lattice: each sign may stand for itself, for a look-alike letter, or for nothing
 (separators, repeats). Viterbi's algorithm picks the likeliest letters under a trigram model of characters counted over
-all words of all documents. Words of the text and of the restored stretches are then scored: a word's evidence is that of the
+all words of all documents. A stretch with look-alikes stays undecoded where signs drawn evenly explain it better (keys,
+numbers), whatever its length. Words of the text and of the restored stretches are then scored: a word's evidence is that of the
 word or of its beginning (PREFIXES letters), whichever tells most, and two numbers of each text, the greatest evidence
 and the logarithm of the sum, go through a logistic model.
 
@@ -43,19 +44,18 @@ LOOK = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¢": "c", "(": "c", "*": "",
 }
 SEPARATORS = " .-_*~'"
+#: Look-alikes that are plain punctuation before and after a word.
+BEFORE, AFTER = "(*", "!(*"
 ITSELF, AS_LETTER, DROPPED, REPEAT, TWICE, UNREADABLE = (math.log(p) for p in (0.9, 0.3, 0.01, 0.5, 0.01, 1e-6))
+#: A sign left as it is, one of a byte's values: disguised words cost less, keys and numbers more.
+AS_IS = math.log(1 / 256)
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = "0-9@$!|+€£¢(*"
 #: s p a c e d letters, always by the same separator.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([ .\-_*~']{1,2})(?:[^\W_]|[@$!|+])(?:\1(?:[^\W_]|[@$!|+]))+(?![^\W_])")
-#: What a text must hold for any of the next: a look-alike that is no common punctuation, or one inside a word.
-_HINT = re.compile(r"[0-9@$|+€£¢]|\w[!(*]\w")
-_MIXED = re.compile(
-    rf"(?<![\w@$+])[@$]?[^\W_]*[^\W\d_][{_LEET}]{{1,3}}[^\W_][\w{_LEET}]{{0,16}}(?![\w{_LEET}])"  # look-alikes between letters
-    rf"|(?<![\w@$+.])[0-9@$!|+€£¢(]{{1,3}}[^\W\d_][\w{_LEET}]{{1,16}}(?![\w{_LEET}])"  # at the start
-    r"|(?<![\w@$+.])[^\W\d_]{2,}[0-9$@]{1,2}(?![\w@$+])"  # at the end
-)
-_TRIPLE = re.compile(r"(.)\1\1")
+#: A stretch of letters and look-alikes, both of them (letters are looked for later).
+_MIXED = re.compile(rf"(?<![\w{_LEET}])[^\W\d]*+[{_LEET}][\w{_LEET}]*+")
+_DOUBLE = re.compile(r"(.)\1")
 
 
 @dataclass
@@ -97,6 +97,7 @@ class Letters:
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """For each sign what it may stand for and the log probability; '' is nothing."""
     out = []
+    before, after = len(stretch) - len(stretch.lstrip(BEFORE)), len(stretch.rstrip(AFTER))
     for i, c in enumerate(stretch):
         options: list[tuple[str, float]] = []
         if c.isalpha():
@@ -108,25 +109,37 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
         else:
             options.append(("", UNREADABLE))
         options += [(x, AS_LETTER) for x in LOOK.get(c, "")]
-        if c in "*!+|(" or c == stretch[i - 1 : i]:
+        if i < before or i >= after:
+            options.append(("", ITSELF))  # punctuation around a word
+        elif c in "*!+|(" or c == stretch[i - 1 : i]:
             options.append(("", DROPPED))
         out.append(options)
     return out
 
 
-def decode(stretch: str, letters: Letters) -> str:
-    """The likeliest letters: Viterbi over states of the last two."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+def likeliest(stretch: str, letters: Letters) -> tuple[float, str]:
+    """Log probability and letters of the best path: Viterbi over states of the last two."""
+    states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
     for options in lattice(stretch):
-        new: dict[str, tuple[float, str]] = {}
-        for context, (score, text) in states.items():
+        new: dict[str, tuple[float, tuple]] = {}
+        for context, (score, path) in states.items():
             for letter, cost in options:
                 total = score + cost + (letters.log(context, letter) if letter else 0.0)
                 to = context[1] + letter if letter else context
                 if to not in new or total > new[to][0]:
-                    new[to] = (total, text + letter)
+                    new[to] = (total, (path, letter) if letter else path)
         states = new
-    return max((score + letters.log(context, "$"), text) for context, (score, text) in states.items())[1]
+    best, path = max(((score + letters.log(context, "$"), path) for context, (score, path) in states.items()), key=lambda x: x[0])
+    out = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return best, "".join(reversed(out))
+
+
+def decode(stretch: str, letters: Letters) -> str:
+    """The likeliest letters."""
+    return likeliest(stretch, letters)[1]
 
 
 def features(word: str) -> list[str]:
@@ -143,14 +156,20 @@ class Restorer(dict):
         self.letters = letters
 
     def __missing__(self, stretch: str) -> tuple[str, ...]:
-        out = tuple(_WORD.findall(decode(stretch, self.letters))) if any(map(str.isalpha, stretch)) else ()
+        out: tuple[str, ...] = ()
+        if any(map(str.isalpha, stretch)):
+            best, text = likeliest(stretch, self.letters)
+            signs = [c for c in stretch if c not in SEPARATORS]
+            # against leaving it as it is
+            if all(map(str.isalpha, signs)) or best > (len(signs) + 1) * AS_IS:
+                out = tuple(_WORD.findall(text))
         if len(self) < CACHE:
             self[stretch] = out
         return out
 
     def variants(self, word: str) -> tuple[str, ...]:
-        """The word, and what it is without its repeats if a letter comes three times."""
-        return (word, *self[word]) if _TRIPLE.search(word) else (word,)
+        """The word, and what it is without its repeats if a letter comes twice in a row."""
+        return (word, *self[word]) if _DOUBLE.search(word) else (word,)
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text, with those of its restored stretches; for repeated letters see variants."""
@@ -158,11 +177,8 @@ class Restorer(dict):
         out = set(_WORD.findall(low))
         for m in _SPACED.finditer(low):
             out.update(self[m.group()])
-        if _HINT.search(low):
-            for m in _MIXED.finditer(low):
-                # keys and numbers are mostly digits, disguised words mostly letters
-                if 2 * sum(map(str.isalpha, m.group())) >= len(m.group()):
-                    out.update(self[m.group()])
+        for m in _MIXED.finditer(low):
+            out.update(self[m.group()])
         return out
 
 

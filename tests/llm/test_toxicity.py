@@ -58,3 +58,16 @@ def test_language_of_all_documents(spark):
     assert tx.trigrams(many)[1].sum() == 257 and len(tx.trigrams("")[0]) == 0
     y = table(spark, BIG, "labels").filter("doc_id = 0")
     assert tx.fit(d, y).letters.counts == letters.counts
+
+
+def test_stretches_of_mostly_signs(spark, model):
+    words = tx.Restorer(model.letters).words
+    for seen in ("1d10t", "1d10+", "(1d10t)", "1d10t!"):
+        assert "idiot" in words(f"you {seen} there"), seen
+    assert "pathetic" in words("p4th3t1c") and "idiot" in tx.Restorer(model.letters).variants("iddioott")
+    assert "idiot" in words("1" + "1d10t"[1:] + "t" * 3) and any(w.startswith("idiot") for w in words("1d10t_y0u_l0s3r_m0r0n_tr4sh"))
+    assert words("7f3a9c2e41b8 x9q7z3k1v8") <= {"f", "a", "c", "e", "b", "x", "q", "z", "k", "v"}  # keys are left as they are
+    clean = table(spark, BIG, "documents").join(table(spark, BIG, "labels").filter("toxic = 0 and quality = 1"), "doc_id").limit(5).collect()
+    texts = [r.text + x for x in ("", " 1d10t") for r in clean]
+    got = rows(tx.score(docs(spark, texts), model))
+    assert all(got[i]["score"] < 0.3 for i in range(5)) and all(got[i]["score"] >= 0.3 for i in range(5, 10))
