@@ -57,17 +57,34 @@ def total_score(title: Column, author: Column) -> Column:
     return F.lit(0.55) * title + F.lit(0.45) * F.when(author >= AUTHOR, author).otherwise(0.0)
 
 
+def token_hits(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """_q, _p of the distinct tokens asked (_q) and held (_p) where p alone makes a hit of q (STRONG, AUTHOR at the least)."""
+    q, p = F.length("_q"), F.length("_p")
+    inside = (q >= 6) & (F.contains("_p", F.col("_q")) | F.contains("_q", F.col("_p")))
+    # what is equal in both is no longer than the shorter
+    near = inside | (200 * F.least(q, p) >= 85 * (q + p))
+
+    def hit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[T.token_hit(x, [y]) >= STRONG for x, y in zip(b["_q"], b["_p"], strict=True)]]
+
+    few = asked.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS
+    return held.join(F.broadcast(asked) if few else asked, near).select("_q", "_p").mapInPandas(hit, "_q string, _p string")
+
+
 def candidates(recordings: DataFrame, books: DataFrame, top: int = 3, least: float = 0.25, blocked: bool = False) -> DataFrame:
     """For each recording (id, author, work) the top books (path, tokens) by fuzzy score, best first.
 
     Every pair is scored (fuzzy hits need no word in common), on the recordings' partitions against the books in turn; with
-    blocked only pairs that share the first three letters of a token are, as an equality join.
+    blocked only pairs with a token that hits another are, the others' score being 0: the same rows, as equality joins
+    through the distinct tokens that hit each other.
     """
     rec = recordings.withColumns({"title_tokens": T.tokens(F.col("work")), "author_tokens": T.tokens(F.col("author"))}).filter((F.size("title_tokens") > 0) | (F.size("author_tokens") > 0))
-    if blocked:
-        heads = lambda c: F.explode(F.array_distinct(F.transform(c, lambda t: F.substring(t, 1, 3))))
-        keyed = rec.withColumn("_h", heads(F.concat("title_tokens", "author_tokens")))
-        pairs = keyed.join(books.withColumn("_h", heads(F.col("tokens"))), "_h").drop("_h").dropDuplicates(["id", "path"])
+    if blocked and least >= 0:
+        some = rec.groupBy("id", "title_tokens", "author_tokens").agg(F.count("*").alias("_r")).withColumn("_q", F.explode(F.array_distinct(F.concat("title_tokens", "author_tokens"))))
+        held = books.groupBy("path", "tokens").agg(F.count("*").alias("_b")).withColumn("_p", F.explode(F.array_distinct("tokens")))
+        pairs = some.join(token_hits(some.select("_q").distinct(), held.select("_p").distinct()), "_q").join(held, "_p")
+        pairs = pairs.drop("_q", "_p").distinct().withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_r") * F.col("_b")))).drop("_n")
     else:
         few = books.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS
         pairs = rec.crossJoin(F.broadcast(books) if few else books)  # the reference's own all-pairs scoring

@@ -146,6 +146,14 @@ def test_candidates_with_and_without_blocks(spark):
     assert [(r.id, r.path, r.tier) for r in a] == [(1, "b1", "strong")] == [(r.id, r.path, r.tier) for r in match.candidates(rec, books, blocked=True).collect()]
 
 
+def test_blocks_lose_no_candidate(spark):
+    """Hits inside a token, and fuzzy ones that differ at the start, share no first letters."""
+    rec = make(spark, [(1, "", "iereau turbesi"), (2, "", "kitaplar hanimlar"), (3, "bdullayev", "zz"), (4, "Abdullayeva", "yazdimlar"), (4, "Abdullayeva", "yazdimlar")], "id long, author string, work string")
+    books = make(spark, [("b1", ["xxiereauxx"]), ("b2", ["itaplar", "something"]), ("b2", ["itaplar", "something"]), ("b3", ["abdullayev"]), ("b4", ["yazd", "abdullay"]), ("b5", [])], "path string, tokens array<string>")
+    got = [sorted(tuple(r) for r in match.candidates(rec, books, blocked=x, top=9).select("id", "path", "score", "tier").collect()) for x in (False, True)]
+    assert got[0] == got[1] and {(1, "b1"), (2, "b2"), (3, "b3")} <= {r[:2] for r in got[1]} and len(got[1]) > 5
+
+
 def test_verify(spark):
     m = make(spark, [(1, "nenkejan hanim turbesi", "a"), (2, "bir", "a"), (3, "nenkejan hanim turbesi", "none"), (4, "totally other title", "a")], "id long, work string, book string")
     books = make(spark, [("a", "eski nenkejan hanim turbesi eken")], "book string, text string")
