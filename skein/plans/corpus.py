@@ -184,8 +184,7 @@ def sentences(t: Tables) -> DataFrame:
 
 @query()
 def skeletons(t: Tables) -> DataFrame:
-    title = F.substring_index("text", "\n", 1)
-    return t.documents.select("doc_id", X.skeleton(title).alias("skeleton"), X.slug(title).alias("slug"))
+    return t.documents.select("doc_id", X.skeleton(F.col("text")).alias("skeleton"), X.slug(F.col("text")).alias("slug"))
 
 
 @query()
@@ -195,5 +194,5 @@ def norm_titles(t: Tables) -> DataFrame:
 
 @query()
 def romanized(t: Tables) -> DataFrame:
-    words = X.words(F.substring_index("text", "\n", 1))
+    words = X.words(F.col("text"))
     return t.documents.select("doc_id", F.array_join(X.alignment_inputs(words)["tokens_starred"], " ").alias("starred"))

@@ -234,7 +234,8 @@ def fuzzy_candidates(t: Tables) -> DataFrame:
 
 @query()
 def verified_matches(t: Tables) -> DataFrame:
-    """Which benchmark items are said by the document of the same number."""
-    m = t.benchmark.select(F.col("item_id").alias("id"), F.substring_index("text", " ", 8).alias("work"), F.col("item_id").cast("string").alias("book"))
+    """Which benchmark items are said by the documents that hold most of their words."""
+    works = t.benchmark.select("item_id", F.col("text").alias("work"))
+    m = topk_candidates(t).join(works, "item_id").select(F.col("item_id").alias("id"), "work", F.col("doc_id").cast("string").alias("book"))
     books = t.documents.select(F.col("doc_id").cast("string").alias("book"), "text")
     return match.verify(m, books)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import curate, joins, match, models, ops, qc, segments
+from skein.plans.registry import QUERIES
 
 
 def make(spark, rows, schema):
@@ -204,3 +205,15 @@ def test_centroids_and_scaling(spark):
     assert got["a"][:2] == (2, 3) and got["b"] == (1, 1, [0.0, 1.0])
     z = models.zscore(make(spark, [(1.0,), (3.0,)], "x double"), make(spark, [(2.0,), (4.0,)], "x double"), ["x"]).orderBy("x").collect()
     assert z[0].x == 0.0 and abs(z[1].x - 2 / (1 + 1e-6)) < 1e-9
+
+
+def test_plans_take_whole_texts(spark, tmp_path):
+    """All lines of a text are romanised and made skeletons of; an item is looked for in every document."""
+    tables = {"documents": [(7, "unrelated words here\nnothing said"), (8, "some heading\nthe quick brown foxes jumped over lazy sleeping dogs yesterday evening")],
+              "benchmark": [(7, "quick brown foxes jumped over lazy sleeping dogs yesterday evening")]}
+    for name, rows in tables.items():
+        make(spark, rows, f"{'doc_id' if name == 'documents' else 'item_id'} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert "d o g s" in {r.doc_id: r.starred for r in run("romanized")}[8]
+    assert {r.doc_id: r.skeleton for r in run("skeletons")}[7] == "unrelated vords here nothing said"
+    assert [(r.id, r.book, r.verdict) for r in run("verified_matches")] == [(7, "8", "confirmed")]
