@@ -1,9 +1,11 @@
-"""What the operators of this subpackage share: tables, scratch storage, ordered buckets."""
+"""What the operators of this subpackage share: tables, scratch storage, array functions, ordered buckets."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +27,12 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
+    """The shared folder that the cluster names; one of our own only where none is set and all runs in this process."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{_own_folder()}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +56,58 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes that a task of an own exchange gets, by the optimiser's estimate (for texts in Parquet: compressed ones).
+TASK_BYTES = 16 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Into how many parts to deal df: as many as the session shuffles into, more if the data are more than that holds."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(partitions(df.sparkSession), -(-size // TASK_BYTES)), 1 << 20)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, for columns that come and go inside an operator."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then reads it (also where a lambda does)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+_BLOCK = 256
+
+
+def scan(values: Column, plus: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Running totals of an array under plus, each with its own element.
+
+    Blocks are scanned by appending, then their last totals, so an element is copied 256 times at most and the totals of
+    n elements cost (n / 256) ** 2 / 2 copies: in proportion to n up to some millions.
+    """
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def one(some: Column) -> Column:
+        return F.aggregate(some, nothing, lambda done, x: F.concat(done, F.array(F.coalesce(plus(F.try_element_at(done, F.lit(-1)), x), x))))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: one(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+        def lift(p: Column) -> Column:
+            before = F.concat(F.array(F.lit(None).cast(kind)), one(F.transform(p, lambda q: F.element_at(q, -1))))
+            return F.flatten(F.zip_with(p, F.slice(before, F.lit(1), F.size(p)), lambda q, x: F.transform(q, lambda y: F.coalesce(plus(x, y), y))))
+
+        return F.when(F.size(v) > 0, let(blocks, lift)).otherwise(nothing)
+
+    return let(values.cast(f"array<{kind}>"), whole)
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most limit rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit

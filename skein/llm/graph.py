@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import staged
+from skein.llm.common import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,12 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = staged(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "links")
     label = staged(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("component")), "labels")
+    old = label
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         up = label.select(F.col("id").alias("low"), F.col("component").alias("over"))
         new = staged(low.join(up, "low", "left").select("id", "old", F.least("low", F.coalesce("over", "low")).alias("component")), "labels")
         done = new.filter("component != old").isEmpty()
-        label = new.select("id", "component")
+        discard(label if hasattr(label, "staged_path") else old)
+        old, label = new, new.select("id", "component")
         if done:
+            discard(both)
             return label

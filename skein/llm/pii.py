@@ -4,8 +4,9 @@ Positions are code points, ends exclusive. The base kinds (email, ip, card, phon
 every one that passes is kept; the further kinds (iban, secret) are kept from a score of KEEP on. A failing match is
 dropped without another try inside it.
 
-Defined results: a null text counts as empty and has no spans; rows with null or repeated keys are kept, each with its
-own result; an empty table gives no rows; all other columns pass through unchanged.
+Defined results: a null text counts as empty and has no spans; of spans that start together the kind listed first comes
+first; rows with null or repeated keys are kept, each with its own result; an empty table gives no rows; all other columns
+pass through unchanged, whatever their names. Time and memory are proportional to a text and its findings.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import let, scan, unused
+
 #: In the order in which kinds are listed where two spans start together.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
@@ -40,19 +43,8 @@ REACH = 40
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "secret": 0.6}
 LIFT = 0.1
 KEEP = 0.5
-_BLOCK = 256
-
-
-def running(lengths: Column) -> Column:
-    """Inclusive running totals of an array of ints; blocks keep the copying linear."""
-    zero = F.array().cast("array<long>")
-
-    def block(part: Column) -> Column:
-        return F.aggregate(part, zero, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x)))
-
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: block(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
-    lasts = lambda upto: F.aggregate(F.slice(parts, F.lit(1), upto), F.lit(0).cast("long"), lambda s, p: s + F.element_at(p, -1))
-    return F.flatten(F.transform(parts, lambda p, b: F.transform(p, lambda x: x + lasts(b))))
+#: Code points in a piece of text that a masked span is cut from.
+_PIECE = 1024
 
 
 def digits(match: Column) -> Column:
@@ -89,37 +81,45 @@ CONFIRM: dict[str, Callable[[Column], Column]] = {
 }
 
 
+_TYPE = "array<struct<start:bigint,rank:int,end:bigint,score:double>>"
+
+
 def _spans(kind: str, text: Column, hits: Column) -> Column:
-    """The confirmed matches of one kind as structs; positions from the lengths of matches and of what lies between."""
+    """The confirmed matches of one kind as structs, in time proportional to text and matches.
+
+    The text is split once into what lies between the matches; positions are running totals of the lengths of gaps and
+    matches, and a match's context is the end of the match before it and of the gap.
+    """
     rank = KINDS.index(kind)
-    size = F.size(hits)
-    between = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.length(p))
-    steps = F.transform(F.slice(between, F.lit(1), size), lambda n, i: n + F.length(F.get(hits, i)))
-    ends = running(steps)
-    found = F.transform(ends, lambda end, i: F.struct((end - F.length(F.get(hits, i))).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.get(hits, i).alias("match")))
-    found = F.filter(found, lambda s: CONFIRM[kind](s["match"]))
-    before = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(REACH)).cast("int")))
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), (F.lit(SCORE[kind]) + F.when(before(s).rlike(CONTEXT[kind]), LIFT).otherwise(0.0)).alias("score")))
-    if kind not in BASE:
-        found = F.filter(found, lambda s: s["score"] >= KEEP)
-    return found
 
+    def found(gaps: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), hits)  # one too many
+        lead = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.slice(before, F.lit(1), F.size(hits)), lambda g, h: F.struct(F.length(g).cast("bigint").alias("gap"), F.right(F.concat(F.right(h, F.lit(REACH)), F.right(g, F.lit(REACH))), F.lit(REACH)).alias("context")))
+        ends = scan(F.zip_with(lead, hits, lambda x, h: x["gap"] + F.length(h)), lambda x, y: x + y, "bigint")
+        each = F.zip_with(F.zip_with(hits, lead, lambda h, x: F.struct(h.alias("match"), x["context"].alias("context"))), ends, lambda m, end: F.struct(m["match"].alias("match"), m["context"].alias("context"), end.alias("end")))
+        sure = F.filter(each, lambda s: CONFIRM[kind](s["match"]))
+        lift = lambda s: F.when(F.lower(s["context"]).rlike(CONTEXT[kind]), LIFT).otherwise(0.0)
+        return F.transform(sure, lambda s: F.struct((s["end"] - F.length(s["match"])).alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), (F.lit(SCORE[kind]) + lift(s)).alias("score")))
 
-_TYPE = "array<struct<start:bigint,rank:int,end:bigint,score:double>>"
+    out = let(F.split(text, PATTERNS[kind], -1), found).cast(_TYPE)
+    return out if kind in BASE else F.filter(out, lambda s: s["score"] >= KEEP)
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with findings: an array of (start, rank in KINDS, end, score), by start and then rank."""
+def find_pii(docs: DataFrame, text: str = "text", into: str = "findings") -> DataFrame:
+    """docs with a further column into: an array of (start, rank in KINDS, end, score), by start and then rank."""
+    if into.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the column {into} is there already")
+    own = unused(docs, *[f"_{k}" for k in KINDS])
     body = F.coalesce(F.col(text), F.lit(""))
 
     def hits(kind: str) -> Column:
         all_ = F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0))
         return F.when(F.contains(body, F.lit(NEEDS[kind])), all_) if kind in NEEDS else all_
 
-    docs = docs.withColumns({f"_{k}": hits(k) for k in KINDS})
+    docs = docs.withColumns({c: hits(k) for k, c in zip(KINDS, own, strict=True)})
     empty = F.array().cast(_TYPE)
-    each = [F.when(F.size(F.col(f"_{k}")) > 0, _spans(k, body, F.col(f"_{k}")).cast(_TYPE)).otherwise(empty) for k in KINDS]
-    return docs.withColumn("findings", F.array_sort(F.concat(*each))).drop(*[f"_{k}" for k in KINDS])
+    each = [F.when(F.size(F.col(c)) > 0, _spans(k, body, F.col(c))).otherwise(empty) for k, c in zip(KINDS, own, strict=True)]
+    return docs.withColumn(into, F.array_sort(F.concat(*each))).drop(*own)
 
 
 def listing(findings: Column) -> Column:
@@ -129,23 +129,38 @@ def listing(findings: Column) -> Column:
 
 
 def mask(text: Column, findings: Column) -> Column:
-    """text with each span (overlapping ones as one) replaced by its kind in square brackets."""
+    """text with each span (overlapping ones as one, named after the first) replaced by its kind in square brackets.
+
+    A span begins a mask where it starts at or after the greatest end before it; what lies between masks is cut from pieces
+    of the text, so the time is proportional to text and findings.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], F.array(gap, F.get(names, s["rank"])))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        """Code points a to b."""
+        i, j = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+        head = F.substring(F.get(pieces, i), (a % _PIECE + 1).cast("int"), F.least(b - a, F.lit(_PIECE)).cast("int"))
+        middle = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        tail = F.when(j > i, F.substring(F.get(pieces, j), F.lit(1), ((b - 1) % _PIECE + 1).cast("int"))).otherwise("")
+        return F.when(b > a, F.concat(head, middle, tail)).otherwise("")
+
+    def masked(pieces: Column) -> Column:
+        def join(ends: Column) -> Column:
+            spans = F.zip_with(findings, F.concat(F.array(F.lit(0).cast("bigint")), ends), lambda s, e: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), e.alias("before")))
+            opens = F.filter(spans, lambda s: s["start"] >= s["before"])
+            each = F.transform(opens, lambda s: F.concat(cut(pieces, s["before"], s["start"]), F.get(names, s["rank"])))
+            return F.concat(F.array_join(each, ""), cut(pieces, F.element_at(ends, -1), F.length(text).cast("bigint")))
+
+        return let(scan(F.transform(findings, lambda s: s["end"]), lambda x, y: F.greatest(x, y), "bigint"), join)
 
-    end = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(findings) > 0, F.aggregate(findings, first, step, end)).otherwise(text)
+    return F.when(F.size(findings) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every finding masked in text; no row is dropped, null stays null."""
-    found = find_pii(docs, text)
-    return found.withColumn(text, mask(F.col(text), F.col("findings"))).drop("findings")
+    (name,) = unused(docs, "findings")
+    found = find_pii(docs, text, name)
+    return found.withColumn(text, mask(F.col(text), F.col(name))).drop(name)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 import hashlib
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import pii
 from skein.llm.common import table
@@ -41,7 +45,7 @@ def expected(text):
 HARD = [
     None, "", " ", "no data here", "a@b.c_d@e.f x@y", "a@b@c.de@f.gh", "..@-.-", "é😀 me@exämple.com ñ@b.co 1.2.3.4", "999.2.3.4.5.6.7.8", "1.2.3.4.5.6.7.8.9",
     "000255.1.1.1 and 256.1.1.1 and 1.2.3.99999999999999999999", "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111111x", "1 4111 1111 1111 1111", "41111111111111111111 4111111111111111",
-    "4111  1111 1111 1111", "+1 (848) 555-6910 +1 5", "+44 20 7946 0958.", "++1 2345678901", "+1 848 555 6910 4111111111111111", "x" * 50_000 + "@a.b", "1" * 30_000, "a.b" * 20_000, "a@b.c " * 700,
+    "4111  1111 1111 1111", "+1 (848) 555-6910 +1 5", "+44 20 7946 0958.", "++1 2345678901", "+1 848 555 6910 4111111111111111", "x" * 50_000 + "@a.b", "1" * 30_000, "a.b" * 20_000, "a@b.c " * 5000, "1.2.3.4 x@y.z +1 848 555 6910 é " * 600,
     "+1" + " " * 5000 + "2", "0000000000000000", "12-34-56-78-90-12-34-", "mail\nme@x.y\n", "5-5.5.5.5-5", "a@b.c@d.e",
 ]
 
@@ -75,6 +79,53 @@ def test_context_lifts_the_score(spark):
     assert got[0]["findings"][0]["score"] > got[1]["findings"][0]["score"]
 
 
+def masked(text):
+    """What redact gives, span by span."""
+    found = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(PLAIN.items()) for m in re.finditer(p, text) if passes(k, m.group())]
+    out, at = [], 0
+    for a, _, b, k in sorted(found):
+        if a >= at:
+            out += [text[at:a], f"[{k.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_masks_equal_plain_ones(spark):
+    texts = ["a@1.2.3.4.x 5.6.7.8", "+4111 1111 1111 1111 0", "é" * 1023 + " a@b.c " + "ü" * 3000 + " 1.2.3.4", "x@y.zz" + " pad" * 2000, "1.2.3.4 x@y.z é" * 600, "😀 a@b.c 😀"]
+    got = rows(pii.redact(docs(spark, texts)))
+    assert [got[i]["text"] for i in range(len(texts))] == [masked(t) for t in texts]
+
+
+def test_time_grows_with_the_findings(spark):
+    """A hundred times the findings in one text, each one step: far from the square of it."""
+
+    def seconds(n):
+        d = docs(spark, ["ab@c.de "[:8] * n])
+        start = time.time()
+        assert pii.report(d).first().n_email == n and pii.redact(d).first().text == "[EMAIL] " * n
+        return time.time() - start
+
+    seconds(10)
+    few, many = seconds(1000), seconds(100_000)
+    assert many < 20 * few + 30
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["findings", "_email", "_ip", "_card", "_phone", "_iban", "_secret", "Findings_", "a.b"]
+    d = docs(spark, ["me a@b.c", None]).toDF("doc_id", "text", "lang", "source", "n_chars")
+    d = d.selectExpr("*", *[f"concat('kept', doc_id) as `{c}`" for c in names])
+    got = pii.redact(d)
+    assert got.columns == d.columns and [r.asDict()["findings"] for r in got.collect()] == ["kept0", "kept1"]
+    assert sorted(str(r.text) for r in got.collect()) == ["None", "me [EMAIL]"]
+    with pytest.raises(ValueError):
+        pii.find_pii(d)
+
+
+def test_null_and_repeated_keys(spark):
+    d = docs(spark, ["a@b.c", "a@b.c"]).withColumn("doc_id", F.lit(None).cast("long")).unionAll(docs(spark, ["x", "x@y.z"]).withColumn("doc_id", F.lit(3).cast("long")))
+    assert sorted(r.text for r in pii.redact(d).collect()) == ["[EMAIL]", "[EMAIL]", "[EMAIL]", "x"] and pii.report(d).count() == 4
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert pii.report(docs(spark, [])).count() == 0
     twice = docs(spark, ["a@b.c"]).unionAll(docs(spark, ["a@b.c"]))
