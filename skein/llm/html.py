@@ -5,16 +5,20 @@ summed by path and divided by its blocks; both ratios are smoothed over the bloc
 again by path; paths above a share of the best are content. The smallest element that holds all blocks of the content
 paths is the article: its other blocks (headings, short lists) belong to it unless they are mostly links.
 
-Elements that never hold an article (menus, footers, forms, scripts, adverts, notices, reader comments, by element,
-class, id or role) are left out before anything is counted.
+Elements that never hold an article (menus, footers, forms, scripts) are left out before anything is counted. A class, id
+or role that names adverts, notices, comments and the like is a weight in the fused score (ODD_NAME for each such element
+around a block), so a page whose article stands in such an element keeps it; beside the article it keeps blocks out.
 
 Defined results: null or empty html gives an empty text; text without any element is one block; broken or cut-off markup
-is read as far as it goes; repeated rows keep their own result; further columns are ignored.
+is read as far as it goes, a comment that is never closed to the end of the page; paths that score alike are alike;
+repeated rows keep their own result; an empty table gives no rows; further columns are ignored. Time is proportional to a
+page's length, whatever its depth.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -30,14 +34,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
 #: Elements left out with all they hold.
 OUT = frozenset("head title script style noscript template iframe object svg canvas math nav footer aside form button select textarea input option menu dialog audio video".split())
-#: Words of a class, id or role that leave an element out.
+#: Words of a class, id or role by which an element is no article, unless they come with one of STATES (no-sidebar,
+#: comments-open) or the element holds the article.
 OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus respond replies share sharing social related recommended widget login search pagination pager hidden".split()
 )
+STATES = frozenset("no not has with without open opened closed enabled disabled allowed layout on off".split())
+#: What each such element counts for on the way from the root to a block.
+ODD_NAME = 0.01
 #: A block's start ends an open paragraph.
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
-_SAME = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+_SAME = {"li": ("li",), "dt": ("dd", "dt"), "dd": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ENDS_P = ("div", "article", "section", "td", "li", "blockquote", "body", "main", "form", "nav", "footer", "aside", "header")
+_ENDS_SAME = ("ul", "ol", "dl", "table", "tbody", "thead", "div", "select", "article", "section")
+_ENDS_INLINE = ("p", "div", "li", "td", "article", "section", "body")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_TAG = re.compile(r"<[A-Za-z/!?]")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：،؛؟¡¿]")
 #: A path is content from this share of the best path's score on.
 SHARE = 0.15
@@ -46,15 +59,31 @@ KERNEL = (0.4, 0.24, 0.06)
 LINKS = 0.5
 
 
+def _says_out(name: str) -> bool:
+    """Whether one class name (or id, or role) names something that is no article."""
+    parts = set(re.split(r"[^a-z0-9]+", name))
+    return not parts.isdisjoint(OUT_NAMES) and parts.isdisjoint(STATES)
+
+
 class _Reader(HTMLParser):
-    """Blocks in page order: [text pieces, path of names, path of element numbers, length of link text]."""
+    """Elements numbered in page order and blocks of text, in time proportional to the page.
+
+    For each block element: number of its parent, of the last element in it, path (its name and its parent's path, as one
+    number), whether its class names something that is no article. For each block: [text pieces, element, length of link
+    text].
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int, bool]] = []  # element, name with class, number, left out
+        # elements in the stack: (name, number, left out, number of the block element that text in it belongs to)
+        self.stack: list[tuple[str, int, bool, int]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)  # places in the stack, by element
+        self.parent, self.last, self.path, self.depth = [0], [0], [0], [0]
+        self.tag, self.odd = [""], [False]
+        self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[list] = []
         self.fresh = True
-        self.count = self.links = 0
+        self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -65,36 +94,47 @@ class _Reader(HTMLParser):
         if tag not in INLINE:
             self.fresh = True
             if tag in _CLOSES_P:
-                self._close(("p",), stop=("div", "article", "section", "td", "li", "blockquote", "body", "main", "form", "nav", "footer", "aside", "header"))
+                self._close(("p",), _ENDS_P)
             if tag in _SAME:
-                self._close(tuple(_SAME[tag].split()), stop=("ul", "ol", "dl", "table", "tbody", "thead", "div", "select", "article", "section"))
-        self.count += 1
-        out = bool(self.stack and self.stack[-1][3]) or tag in OUT
-        name = tag
-        if tag not in INLINE and attrs:
-            named = [v for k, v in attrs if k in ("class", "id", "role") and v]
-            tokens = {t for v in named for t in re.split(r"[^a-z0-9]+", v.lower())}
-            out = out or bool(tokens & OUT_NAMES) and tag not in ("html", "body", "article", "main")
-            name = f"{tag}.{named[0].split()[0]}" if named and named[0].split() else tag
-        if tag == "header" and not any(x[0] in ("article", "main") for x in self.stack):
-            out = True
+                self._close(_SAME[tag], _ENDS_SAME)
+        out = bool(self.stack and self.stack[-1][2]) or tag in OUT or tag == "header" and not self.where["article"] and not self.where["main"]
+        up = self.stack[-1][3] if self.stack else 0
+        number = up
+        if tag not in INLINE:
+            number = len(self.parent)
+            names = [v for k, v in attrs if k in ("class", "id", "role") and v]
+            first = names[0].split()[:1] if names else []
+            key = (self.path[up], ".".join([tag, *first]))
+            self.parent.append(up)
+            self.last.append(number)
+            self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
+            self.depth.append(self.depth[up] + 1)
+            self.tag.append(tag)
+            self.odd.append(tag not in ("html", "body", "main") and any(map(_says_out, " ".join(names).lower().split())))
         if tag == "a":
             self.links += 1
-        self.stack.append((tag, name, self.count, out))
+        self.where[tag].append(len(self.stack))
+        self.stack.append((tag, number, out, number))
+
+    def _top(self, tags: tuple[str, ...]) -> int:
+        return max((self.where[t][-1] for t in tags if self.where[t]), default=-1)
 
     def _close(self, tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                self.links -= sum(x[0] == "a" for x in self.stack[k:])
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in stop:
-                return
+        """Ends the last open one of tags with all in it, unless one of stop was opened after it."""
+        k = self._top(tags)
+        if k < 0 or k < self._top(stop):
+            return
+        for tag, number, _, _ in reversed(self.stack[k:]):
+            self.where[tag].pop()
+            self.links -= tag == "a"
+            if tag not in INLINE:
+                self.last[number] = len(self.parent) - 1
+        del self.stack[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.fresh = True
-        self._close((tag,), stop=() if tag not in INLINE else ("p", "div", "li", "td", "article", "section", "body"))
+        self._close((tag,), () if tag not in INLINE else _ENDS_INLINE)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -102,17 +142,50 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][3]:
+        if self.stack and self.stack[-1][2]:
             return
         if self.fresh:
             if not data.strip():
                 return
-            outer = [x for x in self.stack if x[0] not in INLINE]
-            self.blocks.append([[], tuple(x[1] for x in outer), tuple(x[2] for x in outer), 0])
+            self.blocks.append([[], self.stack[-1][3] if self.stack else 0, 0])
             self.fresh = False
         self.blocks[-1][0].append(data)
         if self.links > 0:
-            self.blocks[-1][3] += len(data)
+            self.blocks[-1][2] += len(data)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment that is never closed goes on to the end (inside scripts and styles none begins)."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find(">", i)  # as browsers do: a comment up to there
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def finish(self) -> None:
+        self.close()
+        for tag, number, _, _ in self.stack:
+            if tag not in INLINE:
+                self.last[number] = len(self.parent) - 1
+        self.last[0] = len(self.parent) - 1
+
+    def odd_names(self) -> list[int]:
+        """For each element, how many elements from the root to it are named like something that is no article.
+
+        An element's name says nothing if the element holds main, h1, or every article that isn't named so itself.
+        """
+        plain = [k for k, t in enumerate(self.tag) if t == "article" and not self.odd[k]]
+        inner = [k for k, t in enumerate(self.tag) if t in ("main", "h1")]
+        out = [0] * len(self.parent)
+        for k in range(1, len(out)):
+            odd = self.odd[k]
+            if odd:
+                at = bisect_right(inner, k)
+                odd = not (at < len(inner) and inner[at] <= self.last[k] or plain and k < plain[0] and plain[-1] <= self.last[k])
+            out[k] = out[self.parent[k]] + odd
+        return out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -123,46 +196,46 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole_tags(html: str) -> str:
+    """html without a tag that is never ended: after the last > nothing that looks like one can be."""
+    cut = _TAG.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 def main_text(html: str | None) -> str:
     reader = _Reader()
-    html = html or ""
-    if (open_ := html.rfind("<!--")) >= 0 and "-->" not in html[open_:]:  # a comment that is never closed
-        html = html[:open_]
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # markup that the parser gives up on: what came before it counts
-        pass
-    blocks = [(" ".join("".join(parts).split()), path, ids, links) for parts, path, ids, links in reader.blocks]
+    reader.feed(_whole_tags(html or ""))
+    reader.finish()
+    blocks = [(" ".join("".join(parts).split()), at, links) for parts, at, links in reader.blocks]
+    in_header = [False] * len(reader.parent)
+    for k in range(1, len(in_header)):
+        in_header[k] = in_header[reader.parent[k]] or reader.tag[k] == "header"
     # in a header inside the article only headings are its text
-    blocks = [b for b in blocks if b[0] and not (any(p.split(".")[0] == "header" for p in b[1]) and b[1][-1].split(".")[0] not in ("h1", "h2", "h3", "h4", "h5", "h6"))]
+    blocks = [b for b in blocks if b[0] and not (in_header[b[1]] and reader.tag[b[1]] not in _HEADINGS)]
     if not blocks:
         return ""
+    odd, path_of = reader.odd_names(), reader.path
+    # blocks of a path under elements with and without such names are told apart
+    path = [(path_of[at], odd[at]) for _, at, _ in blocks]
     length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for text, path, _, links in blocks:
-        length[path] += max(0, len(text) - links)
-        points[path] += len(PUNCTUATION.findall(text))
-        count[path] += 1
-    by_block = lambda total: _smooth(np.array([total[p] / count[p] for _, p, _, _ in blocks], float))
+    for (text, _, links), p in zip(blocks, path, strict=True):
+        length[p] += max(0, len(text) - links)
+        points[p] += len(PUNCTUATION.findall(text))
+        count[p] += 1
+    by_block = lambda total: _smooth(np.array([total[p] / count[p] for p in path], float))
     fused = np.log1p(by_block(length)) * (1 + np.log1p(by_block(points)))
     score = defaultdict(float)
-    for (_, path, _, _), f in zip(blocks, fused, strict=True):
-        score[path] += f * length[path] / count[path] ** 2
+    for p, f in zip(path, fused, strict=True):
+        score[p] += f * length[p] / count[p] ** 2 * ODD_NAME ** p[1]
     best = max(score.values())
     content = {p for p, s in score.items() if s >= SHARE * best and length[p]}
-    holds: tuple[int, ...] | None = None
-    for _, path, ids, _ in blocks:
-        if path in content:
-            parent = ids[:-1]
-            if holds is None:
-                holds = parent
-            else:
-                n = 0
-                while n < min(len(holds), len(parent)) and holds[n] == parent[n]:
-                    n += 1
-                holds = holds[:n]
-    holds = holds or ()
-    return "\n".join(text for text, path, ids, links in blocks if ids[: len(holds)] == holds and (path in content or links < LINKS * len(text)))
+    held = [reader.parent[at] for (_, at, _), p in zip(blocks, path, strict=True) if p in content]
+    # the smallest element that holds them all: from the first one up
+    holds, last = min(held, default=0), max(held, default=0)
+    while last > reader.last[holds]:
+        holds = reader.parent[holds]
+    inside = lambda at: holds <= at <= reader.last[holds]
+    return "\n".join(text for (text, at, links), p in zip(blocks, path, strict=True) if inside(at) and (p in content or links < LINKS * len(text) and odd[at] <= odd[holds]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Language identification, words first: a known word is scored by its log frequency in each language; an unknown one by
 its character n-grams, the longest length of which any is known.
 
-Learning takes about PER_LANGUAGE documents of each language (all of a rarer one), chosen by a hash of the key; the model
-holds at most MAX_WORDS words and MAX_GRAMS n-grams, whatever the corpus. Defined results: a null text, or one without a
-letter, is `und` with score 0; so is every text if nothing was learned; ties go to the first language by name; repeated
-rows keep their own result; further columns are ignored.
+Learning takes about PER_LANGUAGE documents of each language (all of a rarer one), chosen by a hash of the key; of those
+the model has every language, with all n-grams of its WORDS commonest words, so no language is crowded out by others.
+Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing was learned;
+ties go to the first language by name; repeated rows keep their own result; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import held_out, python_batches
 
 #: Documents of a language that a fit reads, on average.
 PER_LANGUAGE = 2000
-MAX_WORDS = 150_000
-MAX_GRAMS = 300_000
+#: Words of a language that a fit takes from them, the commonest first.
+WORDS = 60_000
 LONGEST = 5
 #: Scores of unknown words that a worker keeps.
 CACHE = 300_000
@@ -77,7 +78,7 @@ def build(rows: list[tuple[str, str, int]]) -> Model:
             for g in grams(word, k):
                 pieces[g][lang] += n
     kept = sorted(words, key=lambda w: (-sum(words[w].values()), w))
-    short = sorted(pieces, key=lambda g: (-sum(pieces[g].values()), g))[:MAX_GRAMS]
+    short = sorted(pieces)
     totals = np.array([sum(c.get(lang, 0) for c in words.values()) for lang in languages], float)
     by_length = np.array([sum(c.get(lang, 0) for g, c in pieces.items() if len(g) == 1) for lang in languages], float)
     return Model(languages, {w: i for i, w in enumerate(kept)}, _logs(words, languages, kept, totals), {g: i for i, g in enumerate(short)}, _logs(pieces, languages, short, by_length))
@@ -93,7 +94,8 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1) -> Model:
     taken = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     tally = taken.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = tally.orderBy(F.desc("n"), "word", "lang").limit(MAX_WORDS)
+    # as many rows as the sample has words; a language's are ranked by themselves
+    top = tally.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= WORDS)
     return build([(r["lang"], unicodedata.normalize("NFC", r["word"]), r["n"]) for r in top.toLocalIterator()])
 
 
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score."""
     spark = docs.sparkSession
     python_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most MAX_WORDS and MAX_GRAMS rows
+    sent = spark.sparkContext.broadcast(model)  # at most WORDS words of each language and their n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(sent.value)

@@ -7,17 +7,21 @@ scoring is one narrow pass over the texts.
 The fit reads at most MAX_TRAIN labelled rows (those with the least hash of the key, so the same at every run); this
 bound is the only sample here. Defined results: a null text counts as empty and has a score like any other; labels that
 are null, or belong to no document, are not learned from; without labels, or with one class only, every score is that
-class's share (1.0 without any label); repeated rows keep their own result; further columns pass through.
+class's share (1.0 without any label); documents with the same statistics have the same score; repeated rows keep their
+own result; an empty table gives no rows; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import unused
+
 #: Labelled rows that a fit reads at most.
 MAX_TRAIN = 20_000
 N_TREES = 40
@@ -28,28 +32,30 @@ PENALTY = 0.002
 STEPS = 400
 
 
-def statistics(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Two layers of columns: intermediate ones (arrays, counts) and the statistics made of them by name."""
+def statistics(text: Column, name: Callable[[str], str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Two layers of columns: intermediate ones (arrays, counts) and the statistics made of them; name makes their names."""
     body = F.coalesce(text, F.lit(""))
     count = lambda keep: F.length(F.regexp_replace(body, f"[^{keep}]+", ""))
     base = {
-        "_n": F.length(body),
-        "_words": F.filter(F.split(body, r"\s+"), lambda w: w != ""),
-        "_lines": F.filter(F.split(body, "\n"), lambda w: w != ""),
-        "_upper": count(r"\p{Lu}"), "_digit": count("0-9"), "_symbol": count(r"#$%&*|=_~^<>{}\[\]\\@+/"), "_bang": count("!?"), "_stop": count(".,;:"),
+        "length": F.length(body),
+        "words": F.filter(F.split(body, r"\s+"), lambda w: w != ""),
+        "lines": F.filter(F.split(body, "\n"), lambda w: w != ""),
+        "capitals": count(r"\p{Lu}"), "digits": count("0-9"), "symbols": count(r"#$%&*|=_~^<>{}\[\]\\@+/"), "bangs": count("!?"), "marks": count(".,;:"),
     }
-    n, k = F.greatest(F.col("_n"), F.lit(1)), F.greatest(F.size("_words"), F.lit(1))
+    of = lambda k: F.col(f"`{name(k)}`")
+    n, k = F.greatest(of("length"), F.lit(1)), F.greatest(F.size(of("words")), F.lit(1))
+    lines = F.greatest(F.size(of("lines")), F.lit(1))
     out = {
-        "n_chars": F.col("_n").cast("double"),
-        "n_words": F.size("_words").cast("double"),
-        "word_length": F.col("_n") / k,
-        "distinct_words": F.size(F.array_distinct("_words")) / k,
-        "line_words": k / F.greatest(F.size("_lines"), F.lit(1)),
-        "distinct_lines": F.size(F.array_distinct("_lines")) / F.greatest(F.size("_lines"), F.lit(1)),
-        "upper": F.col("_upper") / n, "digit": F.col("_digit") / n, "symbol": F.col("_symbol") / n, "bang": F.col("_bang") / n, "stops": F.col("_stop") / n,
-        "bang_words": F.col("_bang") / k, "symbol_words": F.col("_symbol") / k, "stop_words": F.col("_stop") / k,
+        "n_chars": of("length").cast("double"),
+        "n_words": F.size(of("words")).cast("double"),
+        "word_length": of("length") / k,
+        "distinct_words": F.size(F.array_distinct(of("words"))) / k,
+        "line_words": k / lines,
+        "distinct_lines": F.size(F.array_distinct(of("lines"))) / lines,
+        "upper": of("capitals") / n, "digit": of("digits") / n, "symbol": of("symbols") / n, "bang": of("bangs") / n, "stops": of("marks") / n,
+        "bang_words": of("bangs") / k, "symbol_words": of("symbols") / k, "stop_words": of("marks") / k,
     }
-    return base, out
+    return {name(k): c for k, c in base.items()}, {name(k): c for k, c in out.items()}
 
 
 NAMES = [
@@ -65,12 +71,13 @@ class Rules:
     bias: float
     rules: tuple[tuple[float, tuple[tuple[str, bool, float], ...]], ...]
 
-    def column(self) -> Column:
+    def column(self, name: Callable[[str], str] = str) -> Column:
+        """The score over the columns that name makes of the statistics' names."""
         z = F.lit(self.bias)
         for weight, conditions in self.rules:
             holds = None
-            for name, above, cut in conditions:
-                c = F.col(name) > F.lit(cut) if above else F.col(name) <= F.lit(cut)
+            for x, above, cut in conditions:
+                c = F.col(f"`{name(x)}`") > F.lit(cut) if above else F.col(f"`{name(x)}`") <= F.lit(cut)
                 holds = c if holds is None else holds & c
             z = z + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -152,9 +159,17 @@ def _top(z: np.ndarray) -> float:
     return 1.02 * float(np.linalg.norm(z @ v))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    base, out = statistics(F.col(text))
-    return docs.withColumns(base).withColumns({f"stat_{k}": v for k, v in out.items()}).drop(*base)
+def _names(docs: DataFrame) -> Callable[[str], str]:
+    """Names with a beginning that no column of docs has."""
+    mark = "stat_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return lambda x: mark + x
+
+
+def with_statistics(docs: DataFrame, text: str, name: Callable[[str], str]) -> DataFrame:
+    base, out = statistics(F.col(f"`{text}`"), name)
+    return docs.withColumns(base).withColumns(out).drop(*base)
 
 
 def training_rows(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
@@ -167,19 +182,24 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Ru
     """Learns from the documents whose labels lie outside the held-out fold."""
     known = training_rows(labels, "quality", folds, held)
     # at most MAX_TRAIN rows of two integers
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
-    got = rows.select("doc_id", "y", *[f"stat_{k}" for k in NAMES]).toPandas().sort_values(["doc_id", "y"])
-    return fit_rules(got[[f"stat_{k}" for k in NAMES]].to_numpy(float), got["y"].to_numpy(float), [f"stat_{k}" for k in NAMES])
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    name = _names(rows)
+    got = with_statistics(rows, "text", name).select("doc_id", "y", *map(name, NAMES)).toPandas().sort_values(["doc_id", "y"])
+    return fit_rules(got[list(map(name, NAMES))].to_numpy(float), got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Rules, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the column score."""
-    return with_statistics(docs, text).withColumn(name, model.column()).drop(*[f"stat_{k}" for k in NAMES])
+    """docs with a further column name, the score."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the column {name} is there already")
+    own = _names(docs)
+    return with_statistics(docs, text, own).withColumn(name, model.column(own)).drop(*map(own, NAMES))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose score reaches least, columns unchanged."""
-    return score(docs, fit(docs, labels), name="_quality").filter(F.col("_quality") >= least).drop("_quality")
+    (name,) = unused(docs, "quality")
+    return score(docs, fit(docs, labels), name=name).filter(F.col(name) >= least).drop(name)
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

@@ -9,8 +9,9 @@ word or of its beginning (PREFIXES letters), whichever tells most, and two numbe
 and the logarithm of the sum, go through a logistic model.
 
 The weights of evidence and the logistic model are fitted on at most MAX_TRAIN labelled rows (those with the least hash of
-the key) and at most MAX_FEATURES features; the trigram model has no such bound. Defined results: null and empty texts have no evidence and get the lowest score; without labels of both classes
-every score is 0; repeated rows keep their own result; further columns are ignored.
+the key); the trigram model has no such bound. Defined results: null and empty texts have no evidence and get the lowest
+score; without labels of both classes every score is 0; of decodings that are equally likely the first found counts;
+repeated rows keep their own result; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from skein.llm.common import held_out, python_batches
 
 MAX_TRAIN = 20_000
-MAX_FEATURES = 5_000
 #: A feature counts if at least this share of the labelled texts that have it are toxic.
 MIN_SHARE = 0.6
 PREFIXES = (4, 5, 6, 7)
@@ -213,19 +213,12 @@ def measure(text: str | None, restorer: Restorer, evidence: Evidence) -> tuple[f
     return max(found, default=0.0), sum(found)
 
 
-def choose(rows: list[tuple[str, int, int]], ones: int, zeros: int, seen: int) -> dict[str, float]:
-    """Weights of the features that lean to label 1 more than chance allows among all that were seen three times."""
+def leaning(counted: DataFrame, ones: int, zeros: int, seen: int) -> DataFrame:
+    """name, pos, neg of the features that lean to label 1 more than chance allows among all that were seen three times."""
     rate = ones / (ones + zeros)
-    least = math.log(max(seen, 2)) + 0.5
-    out = {}
-    for name, pos, neg in rows:
-        share = pos / (pos + neg)
-        if share < max(rate, MIN_SHARE):
-            continue
-        gain = pos * math.log(share / rate) + (neg * math.log((1 - share) / (1 - rate)) if neg else 0.0)
-        if gain >= least:
-            out[name] = math.log((pos + 0.5) / (ones + 1)) - math.log((neg + 0.5) / (zeros + 1))
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES])
+    pos, neg, share = F.col("pos"), F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
+    gain = pos * F.log(share / rate) + F.when(neg > 0, neg * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    return counted.filter((F.col("name") != "") & (pos >= 3) & (share >= max(rate, MIN_SHARE)) & (gain >= math.log(max(seen, 2)) + 0.5))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -325,9 +318,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
         counted.unpersist()
         return Model(letters, {}, (-30.0, 0.0, 0.0))
     seen = counted.filter("pos + neg >= 3").count()
-    top = counted.filter("name != '' and pos >= 3").orderBy(F.desc(F.col("pos") / (F.col("neg") + 1)), "name").limit(10 * MAX_FEATURES).collect()
+    # of the labelled sample's features, those few that tell something
+    top = leaning(counted, whole["pos"], whole["neg"], seen).collect()
     counted.unpersist()
-    weights = choose([(r["name"], r["pos"], r["neg"]) for r in top], whole["pos"], whole["neg"], seen)
+    weight = lambda r: math.log((r["pos"] + 0.5) / (whole["pos"] + 1)) - math.log((r["neg"] + 0.5) / (whole["neg"] + 1))
+    weights = {r["name"]: weight(r) for r in sorted(top, key=lambda r: r["name"])}
     # a disguise hides such a word more often than any other, so the decoder expects them: a fiftieth of all words
     toxic_words = [f[1:] for f in weights if f[0] == "="]
     letters = letters.plus({w: max(1, letters.total // (50 * len(toxic_words))) for w in toxic_words})
@@ -350,7 +345,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score."""
     spark = docs.sparkSession
     python_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights and one count for each distinct gram
+    sent = spark.sparkContext.broadcast(model)  # weights of the labelled sample's features and one count for each distinct gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -1,5 +1,9 @@
+import math
+import re
 import zlib
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import langid, quality
@@ -39,3 +43,82 @@ def test_quality_corner_cases(spark):
     assert quality.report(docs(spark, []), y).count() == 0
     assert rows(quality.report(docs(spark, ["a"]), y.limit(0)))[0]["score"] == 1.0
     assert quality.keep_good(docs(spark, ["a"]), y.limit(0)).columns == docs(spark, []).columns
+
+
+def plain_backoff(model, text):
+    """Languages' scores, word by word from the definition."""
+    total = dict.fromkeys(model.languages, 0.0)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in model.words:
+            got = [model.word_scores[model.words[w]]]
+        else:
+            for n in range(langid.LONGEST, 0, -1):
+                pieces = [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)] if n <= len(w) + 2 else []
+                got = [model.gram_scores[model.grams[g]] for g in pieces if g in model.grams]
+                if got:
+                    break
+        for k, lang in enumerate(model.languages):
+            total[lang] += sum(float(x[k]) for x in got) / max(len(got), 1)
+    return total
+
+
+def test_language_equals_plain_backoff(spark):
+    d = table(spark, "/root/testdata/sf0.001", "documents")
+    m = langid.fit(d)
+    got = rows(langid.predict(d, m))
+    for r in d.limit(80).collect():
+        want = plain_backoff(m, r.text or "")
+        best = max(want, key=want.get)
+        assert abs(want[got[r.doc_id]["lang_pred"]] - want[best]) < 1e-3 * max(1, abs(want[best]))
+        assert abs(got[r.doc_id]["score"] - 1 / sum(math.exp(v - want[best]) for v in want.values())) < 1e-3
+
+
+def test_model_counts():
+    """Log frequencies of words and n-grams from plain counts."""
+    m = langid.build([("a", "xy", 3), ("a", "z", 1), ("b", "xy", 1)])
+    assert m.languages == ["a", "b"] and set(m.words) == {"xy", "z"}
+    assert math.isclose(m.word_scores[m.words["xy"]][0], math.log(3.5 / 5.5), rel_tol=1e-5) and math.isclose(m.word_scores[m.words["z"]][1], math.log(0.5 / 2.5), rel_tol=1e-5)
+    assert set(m.grams) == {g for w in ("^xy$", "^z$") for n in range(1, 6) for g in (w[i : i + n] for i in range(len(w) - n + 1))}
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """Whatever the others have, a language with one document can be predicted."""
+    monkeypatch.setattr(langid, "WORDS", 50)
+    texts = [(3 * k, " ".join(f"wort{k}x{i}" for i in range(200)), "de", "s", 1) for k in range(60)]
+    texts += [(1000, "qala balaq suvuq yolda", "crh", "s", 1)]
+    d = spark.createDataFrame([t for t in texts if zlib.crc32(str(t[0]).encode()) % 3 != 1], docs(spark, []).schema)
+    assert d.filter("lang = 'crh'").count() == 1
+    m = langid.fit(d)
+    assert m.languages == ["crh", "de"] and Counter(rows(langid.predict(docs(spark, ["balaq yolda", "wort1x1 wort2x2"]), m))[k]["lang_pred"] for k in (0, 1)) == {"crh": 1, "de": 1}
+
+
+def plain_statistics(text):
+    t = text or ""
+    w, lines = t.split(), [x for x in t.split("\n") if x]
+    n, k, m = max(len(t), 1), max(len(w), 1), max(len(lines), 1)
+    count = lambda keep: sum(c in keep for c in t)
+    upper, digit, symbol, bang, stop = sum(c.isupper() for c in t), count("0123456789"), count("#$%&*|=_~^<>{}[]\\@+/"), count("!?"), count(".,;:")
+    return [len(t), len(w), len(t) / k, len(set(w)) / k, k / m, len(set(lines)) / m, upper / n, digit / n, symbol / n, bang / n, stop / n, bang / k, symbol / k, stop / k]
+
+
+def test_quality_equals_plain_rules(spark):
+    """Statistics and rules evaluated in plain Python."""
+    d, y = table(spark, BIG, "documents"), table(spark, BIG, "labels")
+    model = quality.fit(d, y)
+    assert model.rules
+    got = rows(quality.score(d.limit(300), model))
+    for r in got.values():
+        s = dict(zip(quality.NAMES, plain_statistics(r["text"]), strict=True))
+        z = model.bias + sum(w for w, c in model.rules if all((s[x] > cut) == above for x, above, cut in c))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9, r["doc_id"]
+
+
+def test_quality_columns_of_any_name(spark):
+    y = table(spark, BIG, "labels")
+    names = ["_n", "_words", "stat_n_chars", "stat_digit", "_quality", "quality", "Quality_", "length", "a.b"]
+    d = docs(spark, ["Some words, of a text. " * 20, None]).selectExpr("*", *[f"concat('kept', doc_id) as `{c}`" for c in names])
+    scored = quality.score(d, quality.fit(table(spark, BIG, "documents"), y))
+    assert scored.columns == [*d.columns, "score"] and all(r.asDict()[c] == f"kept{r.doc_id}" for r in scored.collect() for c in names)
+    assert quality.keep_good(d, y.limit(0)).columns == d.columns and quality.keep_good(d, y.limit(0)).count() == 2
+    with pytest.raises(ValueError):
+        quality.score(scored, quality.Rules(0.0, ()))

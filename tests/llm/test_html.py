@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import time
 
 from skein.llm import html
 from skein.llm.common import table
@@ -33,6 +36,64 @@ def test_corner_cases(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and html.extract(pages.limit(0)).count() == 0
 
 
+def test_names_are_weights():
+    body = "<p>" + "Some text, of an article, here. " * 5 + "</p>"
+    want = ("Some text, of an article, here. " * 5).strip()
+    for page in (f'<div class="site no-sidebar"><article>{body}</article></div>', f'<div class="post comments-open">{body}</div>', f'<div class="comments">{body}</div>', f'<div class="widget"><h1>T</h1>{body}</div>', f'<div id="header"><main>{body}</main></div>'):
+        assert html.main_text(page).split("\n")[-1] == want, page
+    beside = f'<main><article>{body}</article><section class="comments"><article class="comment"><p>{"I like it, really, a lot. " * 30}</p></article></section><div class="related-posts"><p>Other, things, here, too.</p></div></main>'
+    assert html.main_text(beside) == want
+    assert html.main_text(f'<article>{body}<div class="share-buttons"><p>Share, it.</p></div></article>') == want
+
+
+def test_comments_and_declarations():
+    assert html.main_text('<script>var x="<!--";</script><article><p>Whole, here.</p></article>') == "Whole, here."
+    assert html.main_text("<style><!-- p{} </style><p>a</p>") == "a" and html.main_text("<p>a</p><!-- open <p>b</p>") == "a"
+    assert html.main_text("<p>a</p><![foo[ x ]]><p>b</p>") == "a\nb" and html.main_text("<p>a</p><a href='x") == "a"
+
+
+def test_time_is_linear():
+    def seconds(page):
+        start = time.process_time()
+        html.main_text(page)
+        return time.process_time() - start
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<x>" * n + "</b>" * n, lambda n: "<b><div>" + "<x>" * n + "</b>" * n, lambda n: "<a " * n, lambda n: "<a " * n + ">", lambda n: "<li>" * n):
+        assert seconds(make(50_000)) < 30 * seconds(make(5000)) + 2
+    assert html.main_text("<div>x" * 50_000) == "\n".join("x" * 50_000)
+
+
+def plain_ratios(blocks):
+    """Which paths are content, step by step from the definition: (text, path, length of link text)."""
+    paths = [p for _, p, _ in blocks]
+    mean = lambda f: [sum(f(b) for b in blocks if b[1] == p) / paths.count(p) for p in paths]
+
+    def smooth(x):
+        at = lambda i: x[i] if 0 <= i < len(x) else 0
+        return [0.4 * x[i] + 0.24 * (at(i - 1) + at(i + 1)) + 0.06 * (at(i - 2) + at(i + 2)) for i in range(len(x))]
+
+    length = mean(lambda b: max(0, len(b[0]) - b[2]))
+    fused = [math.log1p(a) * (1 + math.log1p(b)) for a, b in zip(smooth(length), smooth(mean(lambda b: sum(c in ".,;:!?" for c in b[0]))), strict=True)]
+    score = {p: sum(f for f, q in zip(fused, paths, strict=True) if q == p) * length[paths.index(p)] / paths.count(p) for p in paths}
+    return {p for p in paths if score[p] >= 0.15 * max(score.values()) and length[paths.index(p)]}
+
+
+def test_against_plain_ratios():
+    rng = random.Random(4)
+    for _ in range(60):
+        blocks, page = [], ""
+        for k in range(rng.randrange(1, 25)):
+            kind = rng.choice(["a", "b", "c", "d"])
+            words = rng.choice([2, 8, 40]) if kind != "d" else 1
+            text = " ".join(rng.choice(["word", "words,", "end.", "more"]) for _ in range(words))
+            page += f"<section><p class={kind}>{text}</p></section>"
+            blocks.append((text, kind, 0))
+        content = plain_ratios(blocks)
+        # each block alone in its section: the holder is the root unless one block is content, and all blocks without links stay
+        kept = html.main_text(page).split("\n")
+        assert kept == ([t for t, _, _ in blocks] if sum(p in content for _, p, _ in blocks) > 1 else [t for t, p, _ in blocks if p in content])
+
+
 def test_tables(spark, sf):
     """In these pages the article is all that stands in the article element, in h1 and p."""
     import html as entities

@@ -1,3 +1,6 @@
+import itertools
+import math
+import random
 import zlib
 
 import pytest
@@ -23,6 +26,45 @@ def test_decoding(model):
     assert "moron" in tx.Restorer(model.letters).variants("mooorooon") and words("plain words, 12 of 345") == {"plain", "words", "of"}
 
 
+def test_viterbi_equals_all_paths(model):
+    """Every path of short lattices, scored from the model's definition."""
+
+    def all_paths(stretch):
+        best = {}
+        for path in itertools.product(*tx.lattice(stretch)):
+            text = "".join(x for x, _ in path)
+            padded = f"^^{text}$"
+            total = sum(c for _, c in path) + sum(model.letters.log(padded[i - 2 : i], padded[i]) for i in range(2, len(padded)))
+            best[text] = max(best.get(text, -1e9), total)
+        return best
+
+    for stretch in ("1d10t", "$tup1d", "m0r0n!", "(5h17)", "t r 4 5 h", "llo0ser", "66", "1|!1", "x", "a.b.c", "sss@"):
+        best = all_paths(stretch)
+        got, text = tx.likeliest(stretch, model.letters)
+        assert abs(got - max(best.values())) < 1e-9 and abs(best[text] - got) < 1e-9, stretch
+
+
+def test_stretches_in_texts(spark, model):
+    words = tx.Restorer(model.letters).words
+    assert "idiot" in words("you 1d10t") and "stupid" in words("$$$$tup1d") and "stupid" in words("$$$$$$$$$$$$$$$$$$$$$$$$$tup1d")
+    got = rows(tx.score(docs(spark, ["you 1d10t", "1d10t", "plain text"]), model))
+    assert got[0]["score"] >= 0.3 and got[1]["score"] >= 0.3 and got[2]["score"] < 0.3
+
+
+def test_leaning_features(spark):
+    """Against the rule in plain Python."""
+    rng, rows_ = random.Random(2), [("", 40, 160)]
+    rows_ += [(f"f{k}", rng.randrange(0, 40), rng.choice([0, 0, 1, 5, 60])) for k in range(300)]
+    got = {r["name"] for r in tx.leaning(spark.createDataFrame(rows_, "name string, pos long, neg long"), 40, 160, 300).collect()}
+    want = set()
+    for name, p, n in rows_[1:]:
+        if p >= 3 and p / (p + n) >= tx.MIN_SHARE:
+            share = p / (p + n)
+            gain = p * math.log(share / 0.2) + (n * math.log((1 - share) / 0.8) if n else 0)
+            want |= {name} if gain >= math.log(300) + 0.5 else set()
+    assert got == want and want
+
+
 def test_held_out(spark):
     d, y = table(spark, BIG, "documents"), table(spark, BIG, "labels")
     got = tx.report(d, y).join(y, "doc_id").collect()
