@@ -1,20 +1,21 @@
-"""Hashed word shingles of whole texts, for many documents at once in numpy.
+"""Word shingles of whole texts, hashed or exact, for many documents at once in numpy.
 
-Words are runs of anything but the white space \\x20 and \\x09-\\x0D, with A-Z in lower case. A document's set holds the
-64-bit hashes of its distinct n-word shingles; with fewer words, that of the whole sequence; without words it is empty.
+Words are runs of anything but the white space \\x20 and \\x09-\\x0D, with A-Z in lower case. A document's set holds its
+distinct n-word shingles; with fewer words, the whole sequence as one; without words it is empty. Hashes are 64 bits of
+keyed BLAKE2b of each word, mixed over the words of a shingle; codes are numbers that stand for a shingle's very words,
+good for the texts they were made of together.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bytes hashed at a time; a longer word makes its piece longer.
-PIECE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ODD = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_KEY = b"skein word shingles"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,62 +27,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _ODD[2])
-
-
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(size, _BASE), np.full(size, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes, wherever it stands: prefix sums of byte values times powers, shifted back."""
-    out = np.empty(len(starts), np.uint64)
-    w = 0
-    while w < len(starts):
-        a = starts[w]
-        to = max(w + 1, int(np.searchsorted(ends, a + PIECE, side="right")))
-        b = ends[to - 1]
-        size = 1 << max(20, int(b - a).bit_length())
-        up, down = _powers(size)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_byte_values()[data[a:b]] * up[: b - a], out=sums[1:])
-        s, e = starts[w:to] - a, ends[w:to] - a
-        out[w:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _ODD[3])
-        w = to
-    return out
-
-
-def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array and where each text begins and the last ends; nulls are empty."""
-    texts = texts.fill_null("")
-    if not len(texts):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = pa.types.is_large_string(texts.type)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, the place of every word in order among them, and the index of each document's first word."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    flat = lists.flatten()
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # none before and after white space
+    if not real.all():
+        at = np.concatenate([[0], np.cumsum(real)])[at]
+        flat = flat.filter(pa.array(real))
+    coded = flat.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the index of each document's first word (one more entry at the end)."""
-    data, offsets = buffers(texts)
-    data = data + (((data >= 65) & (data <= 90)) * np.uint8(32)).astype(np.uint8)
-    inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1] | first[1:]
-    closes = np.zeros(len(data) + 1, bool)
-    closes[1:] = inside[:-1] & (~inside[1:] | first[1:])
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
-    return _hash_words(data, starts, ends), np.searchsorted(starts, offsets)
+    known, codes, at = word_codes(texts)
+    own = b"".join([blake2b(w.encode(), digest_size=8, key=_KEY).digest() for w in known.to_pylist()])
+    return np.frombuffer(own, "<u8").astype(np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64), at
+
+
+def exact_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each document as codes, ascending, and where each document's begin (one more entry at the end).
+
+    Two codes are equal if and only if the words are: each step numbers the pairs of what the last step numbered and the
+    next word.
+    """
+    known, w, at = word_codes(texts)
+    count = np.diff(at)
+    roll = w
+    for k in range(1, n):
+        roll = np.unique(roll[: max(len(w) - k, 0)] * max(len(known), 1) + w[k:], return_inverse=True)[1]
+    short: dict[tuple, int] = {}
+    parts = []
+    for d in range(len(count)):
+        if count[d] >= n:
+            parts.append(np.unique(roll[at[d] : at[d + 1] - n + 1]))
+        elif count[d]:
+            parts.append(np.array([-1 - short.setdefault(tuple(w[at[d] : at[d + 1]].tolist()), len(short))], np.int64))
+        else:
+            parts.append(np.zeros(0, np.int64))
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,10 +11,15 @@ with the least set that asked are proposed. Where such a proposal fails, the gro
 only those whose components differ and whose histograms (counts of elements by the top bits of their hashes) differ by no
 more than the bound on the symmetric difference become proposals: histograms never differ by more than the sets do. So
 copies and near copies cost proposals in proportion to their number, and no link that decides a component is lost. Equal
-sets are one set from the start.
+sets (128 bits over their shingles' hashes) are one set from the start.
+
+The components found so hold every link. Inside each, all links are then decided by the words themselves, in blocks of
+sets: a place gets two blocks, counts each set's links and keeps what connects its sets, but hands on no pairs (unless
+they are asked for). Components and numbers of links follow from that.
 
 Defined results: null and empty texts have the empty set and link with nothing; rows with a null key are returned as
-components of their own (null); repeated keys are one node with the links of each of their rows.
+components of their own (null); repeated keys are one node with the links of each of their rows; of equal sets the least
+key names the class; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import discard, maybe_broadcast, partitions, python_batches, staged
+from skein.llm.common import discard, maybe_broadcast, parts, python_batches, staged
 from skein.llm.graph import components
-from skein.llm.shingles import mix, shingle_sets
+from skein.llm.shingles import exact_sets, mix, shingle_sets
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -41,6 +46,11 @@ DELETIONS = 32
 FLUSH_KEYS = 1_500_000
 FLUSH_DOCS = 1 << 14
 BROADCAST_IDS = 500_000
+#: What one of the two blocks that meet in a place holds at most, on average: sets, and shingles of links.
+BLOCK_SETS = 1200
+BLOCK_SHINGLES = 400_000
+#: Up to so many sets that share a shingle, their pairs are counted one by one.
+FEW = 24
 _ASKS, _HAS = 1 << 14, 1 << 15
 _SALT = [np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
@@ -156,7 +166,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def _proposals(docs: DataFrame, n: int, percent: int, top: int) -> DataFrame:
     """Groups of sets that share a signature: signature, head (the least that asks), other, role and size of the group."""
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = 4 * parts(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, 100 * max(top, 1) // percent + 1)
@@ -290,8 +300,9 @@ def _histograms(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFr
     return texts.mapInArrow(run, "doc_id long, n_shingles long, cells binary")
 
 
-def close_pairs(component: np.ndarray, sizes: np.ndarray, cells: list[bytes], asks: np.ndarray, has: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs (one asks, the other has) of different components that may link by their histograms."""
+def close_pairs(component: np.ndarray, sizes: np.ndarray, cells: list[bytes], asks: np.ndarray, has: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (one asks, the other has) of different components that may link by their histograms; of two
+    blocks only the pairs between them."""
     width = min(map(len, cells))
     rows = [np.frombuffer(c, np.uint8) for c in cells]
     # wider histograms are folded; sums may pass 255
@@ -299,8 +310,11 @@ def close_pairs(component: np.ndarray, sizes: np.ndarray, cells: list[bytes], as
     left, right = [], []
     owners = np.flatnonzero(has)
     held = table[owners]
+    two = block.min() != block.max()
     for i in np.flatnonzero(asks):
         ok = component[owners] != component[i]
+        if two:
+            ok &= block[owners] != block[i]
         small, large = np.minimum(sizes[owners], sizes[i]), np.maximum(sizes[owners], sizes[i])
         ok &= 100 * small >= percent * large
         k = np.flatnonzero(ok)
@@ -314,23 +328,44 @@ def close_pairs(component: np.ndarray, sizes: np.ndarray, cells: list[bytes], as
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _in_blocks(rows: DataFrame, group: str, member: str, blocks: DataFrame) -> DataFrame:
+    """rows with block, i, j: in a group of several blocks (blocks: group, blocks) a row goes to all pairs (i <= j) of its
+    block with another, so each pair of members meets in one place and no place holds more than two blocks."""
+    rows = rows.join(maybe_broadcast(blocks.filter("blocks > 1"), BROADCAST_IDS), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(11), member), F.col("blocks")))
+    rows = rows.withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
+    return rows.withColumns({"i": F.least("block", "other_block"), "j": F.greatest("block", "other_block")}).drop("other_block")
+
+
+def _groups(*keys: np.ndarray) -> list[np.ndarray]:
+    """Places of rows with equal keys."""
+    order = np.lexsort(keys[::-1])
+    changes = np.zeros(max(len(order) - 1, 0), bool)
+    for k in keys:
+        changes |= np.diff(k[order]) != 0
+    return np.split(order, np.flatnonzero(changes) + 1) if len(order) else []
+
+
 def _cross(docs: DataFrame, inside: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs a, b left to try in groups with a failed proposal. Rows: head, other, asks, has, component.
 
-    Groups with one head are taken as one: their pairs are among its pairs, and each set's histogram is sent once.
+    Groups with one head are taken as one (their pairs are among its pairs), in blocks of about BLOCK_SETS sets.
     """
-    buckets = 4 * partitions(docs.sparkSession)
     cells = _histograms(docs, inside.select(F.col("other").alias("doc_id")).distinct(), n, percent)
-    rows = inside.join(cells.withColumnRenamed("doc_id", "other"), "other").withColumn("bucket", F.pmod(F.xxhash64("head"), F.lit(buckets)))
+    blocks = inside.groupBy("head").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks"))
+    spread = _in_blocks(inside, "head", "other", blocks)
+    # single cells share a call, as many as the data need; those of large groups are dealt each by itself
+    buckets = 4 * parts(docs)
+    spread = spread.withColumn("bucket", F.when(F.col("blocks") > 1, F.xxhash64("head", "i", "j")).otherwise(F.pmod(F.xxhash64("head"), F.lit(buckets))))
+    rows = spread.join(cells.withColumnRenamed("doc_id", "other"), "other")
 
     def run(t: pa.Table) -> pa.Table:
-        head, other, component, sizes = (t.column(c).to_numpy() for c in ("head", "other", "component", "n_shingles"))
+        head, other, component, sizes, block, i_, j_ = (t.column(c).to_numpy() for c in ("head", "other", "component", "n_shingles", "block", "i", "j"))
         asks, has = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "has"))
         cells = t.column("cells").to_pylist()
-        order = np.lexsort((other, head))
         got = [np.zeros((0, 2), np.int64)]
-        for k in np.split(order, np.flatnonzero(np.diff(head[order]) != 0) + 1):
-            i, j = close_pairs(component[k], sizes[k], [cells[x] for x in k], asks[k], has[k], percent)
+        for k in _groups(head, i_, j_):
+            i, j = close_pairs(component[k], sizes[k], [cells[x] for x in k], asks[k], has[k], block[k], percent)
             a, b = other[k[i]], other[k[j]]
             got.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
         pairs = np.unique(np.concatenate(got), axis=0)
@@ -339,6 +374,104 @@ def _cross(docs: DataFrame, inside: DataFrame, n: int, percent: int) -> DataFram
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
+def common(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many codes each two of the sets codes[at[d]:at[d + 1]] share, as a square matrix.
+
+    Codes in many sets are columns of a product of matrices; for those in few the pairs of sets are counted.
+    """
+    k = len(at) - 1
+    out = np.zeros((k, k), np.int32)
+    row = np.repeat(np.arange(k), np.diff(at))
+    order = np.argsort(codes, kind="stable")
+    code, row = codes[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    often = np.diff(np.concatenate([first, [len(code)]]))
+    many = np.flatnonzero(often > FEW)
+    for some in np.array_split(many, max(1, -(-len(many) * k // (1 << 24)))):
+        if len(some):
+            table = np.zeros((k, len(some)), np.float32)
+            for c, f in enumerate(some):
+                table[row[first[f] : first[f] + often[f]], c] = 1
+            out += np.rint(table @ table.T).astype(np.int32)
+    for f in range(2, FEW + 1):
+        where = first[often == f]
+        for some in np.array_split(where, max(1, -(-len(where) * f * f // (1 << 22)))):
+            if len(some):
+                sets = row[some[:, None] + np.arange(f)]
+                pair = (sets[:, :, None] * k + sets[:, None, :]).ravel()
+                if len(pair) * 8 < k * k:
+                    where_, times = np.unique(pair, return_counts=True)
+                    out.ravel()[where_] += times.astype(np.int32)
+                else:
+                    out += np.bincount(pair, minlength=k * k).reshape(k, k).astype(np.int32)
+    return out
+
+
+def linked(codes: np.ndarray, at: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets link, as a square matrix; of two blocks only links between them."""
+    sizes = np.diff(at)
+    both = common(codes, at)
+    ok = (100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
+    np.fill_diagonal(ok, False)
+    if len(block) and block.min() != block.max():
+        ok &= block[:, None] != block[None, :]
+    return ok
+
+
+def _links(docs: DataFrame, label: DataFrame, sizes: DataFrame, n: int, percent: int, pairs: bool = False) -> DataFrame:
+    """Inside each component of label (id, component): all links, by the words themselves.
+
+    Per set and place: doc_id, root (a set that it is connected with there), links (how many sets it links with there); or
+    with pairs the links a, b themselves. Components of a few sets share a call; large ones go in pairs of blocks, each of
+    BLOCK_SETS sets and BLOCK_SHINGLES shingles at most, so memory is bounded and no pair leaves its place.
+    """
+    members = label.join(sizes, label["id"] == sizes["doc_id"]).select("doc_id", "component", "n_shingles")
+    members = staged(members.groupBy("doc_id", "component").agg(F.sum("n_shingles").alias("n_shingles")), "members")
+    weight = members.groupBy("component").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
+    blocks = weight.select("component", F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_SETS)).alias("blocks"))
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = max(1, -(-total // BLOCK_SHINGLES))
+    spread = _in_blocks(members.select("doc_id", "component"), "component", "doc_id", blocks)
+    spread = spread.withColumn("cell", F.when(F.col("blocks") > 1, F.xxhash64("component", "i", "j")).otherwise(F.pmod(F.xxhash64("component"), F.lit(shared))))
+    spread = staged(spread.select("doc_id", "component", "block", "i", "j", "cell"), "member-cells")
+    rows = docs.join(maybe_broadcast(spread, BROADCAST_IDS), "doc_id").select("doc_id", "text", "component", "block", "i", "j", "cell")
+
+    def run(t: pa.Table) -> pa.Table:
+        doc, component, block, i_, j_ = (t.column(c).to_numpy() for c in ("doc_id", "component", "block", "i", "j"))
+        codes, at = exact_sets(t.column("text"), n)
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        for k in _groups(component, i_, j_):
+            some = np.concatenate([codes[at[x] : at[x + 1]] for x in k])
+            ok = linked(some, np.concatenate([[0], np.cumsum([at[x + 1] - at[x] for x in k])]), block[k], percent)
+            names, node = np.unique(doc[k], return_inverse=True)
+            if len(names) < len(k):  # rows of one id are one node
+                wide = np.zeros((len(names), len(k)), np.int32)
+                np.add.at(wide, node, ok)
+                whole = np.zeros((len(names), len(names)), np.int32)
+                np.add.at(whole, node, wide.T)
+                ok = whole > 0
+                np.fill_diagonal(ok, False)
+            else:
+                order = np.argsort(doc[k])
+                ok = ok[np.ix_(order, order)]
+            if pairs:
+                a, b = np.nonzero(np.triu(ok))
+                out.append((names[a], names[b], np.ones(len(a), np.int64)))
+                continue
+            root = np.arange(len(names))
+            while True:
+                low = np.minimum(root, np.where(ok, root[None, :], len(names)).min(1, initial=len(names)))
+                low = low[low]
+                if (low == root).all():
+                    break
+                root = low
+            out.append((names, names[root], ok.sum(1)))
+        a, b, m = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(m, pa.int64())], ["doc_id", "root", "links"])
+
+    return rows.groupBy("cell").applyInArrow(run, "doc_id long, root long, links long")
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
@@ -346,16 +479,21 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _related(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sets (doc_id, n_shingles), copies (doc_id, class_id: the least id with the same set, another one), and components
+    that hold every link between different sets (id, component)."""
     sets = staged(_sets(docs, n), "shingle-sets")
     nodes = sets.filter("n_shingles > 0 and doc_id is not null")
     top = nodes.agg(F.max("n_shingles")).first()[0] or 0
     equal = staged(nodes.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "set-classes")
     member = nodes.join(equal.filter("copies > 1"), ["n_shingles", "d1", "d2"]).filter("doc_id != class_id").select("doc_id", "class_id")
     copies = staged(member.distinct(), "set-copies")
-    alone = docs.filter("doc_id is not null").join(maybe_broadcast(copies.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_anti")
+    discard(equal)
+    # ids whose rows have different sets stay, whatever one of their rows is a copy of
+    digest = F.struct("n_shingles", "d1", "d2")
+    mixed = nodes.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).filter("a != b").select("doc_id")
+    gone = copies.select("doc_id").distinct().join(mixed, "doc_id", "left_anti")
+    alone = docs.filter("doc_id is not null").join(maybe_broadcast(staged(gone, "folded"), BROADCAST_IDS), "doc_id", "left_anti")
     groups = staged(_proposals(alone, n, percent, top), "proposals")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # first the least head of each set; then what is left of the proposals; then the rest of groups with a failed one
@@ -374,19 +512,45 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     inside = staged(inside, "broken-groups")
     if not inside.isEmpty():
         of = inside.join(label.select(F.col("id").alias("other"), "component"), "other", "left").withColumn("component", F.coalesce("component", "other"))
-        cross = _cross(docs, of, n, percent)
+        cross = _cross(docs, staged(of, "labelled-groups"), n, percent)
         last = _verified(docs, cross.join(tried.unionAll(again), ["a", "b"], "left_anti"), n, percent)
-        linked = linked.unionAll(last.filter("ok"))
+        label = components(linked.unionAll(last.filter("ok")))
     discard(groups, inside)
-    every = linked.select("a", "b").unionAll(copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
-    label = components(every)
-    return sets.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return sets, copies, label
+
+
+def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """For every row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id (least id with the same set),
+    n_links (how many other sets its set links with)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sets, copies, label = _related(docs, n, percent)
+    sizes = sets.filter("n_shingles > 0").select("doc_id", "n_shingles")
+    exact = staged(_links(docs, label, sizes, n, percent), "links-of-sets")
+    edges = exact.filter("root != doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+    label = components(edges.unionAll(copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))))
+    counted = exact.groupBy(F.col("doc_id").alias("class_id")).agg(F.sum("links").alias("n_links"))
+    own = copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    known = label.withColumnRenamed("id", "doc_id").join(own, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    known = known.join(counted, "class_id", "left")
+    out = sets.join(known, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """a, b: every link between different sets, each set as its least doc_id (class_id in jaccard_components)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sets, _, label = _related(docs, n, percent)
+    found = _links(docs, label, sets.filter("n_shingles > 0").select("doc_id", "n_shingles"), n, percent, pairs=True)
+    return found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component (that of the least id); of repeated ids one row."""
+    """docs with one document of each component (that of the least id).
+
+    Rows of one id are one document: they stay or go together, and of rows with the same id and text one stays.
+    """
     found = jaccard_components(docs, n, percent)
     gone = staged(found.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(maybe_broadcast(gone, BROADCAST_IDS), "doc_id", "left_anti")
+    kept = docs.join(maybe_broadcast(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept if twice.isEmpty() else kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
