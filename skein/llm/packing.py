@@ -7,7 +7,9 @@ of the sources and duplicate clusters they hold; the search goes on from the tig
 the piece's source nor its cluster, however far that is; else a new bin opens.
 
 The unit is the UTF-8 byte, the token of a byte-level model. Defined results: null and empty texts need no room and get no
-bin (bin null); a null source is a source of its own; repeated rows are packed each; an empty table gives no rows.
+bin (bin null); very long texts are cut like others, each piece for itself; a null source is a source of its own; repeated
+rows (and those without a key) are packed each, dealt like any others; pieces of one length go by key, bins of one room by
+age; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import parts, python_batches, staged
+
 CAPACITY = 8192
 SHARD_ROWS = 4096
-SCHEMA = "doc_id long, keyed boolean, source string, piece int, begin long, length long, shard long, bin int, at long"
+SCHEMA = "doc_id long, keyed boolean, source string, cluster long, piece int, begin long, length long, shard long, bin int, at long"
 
 
 class Bins:
@@ -99,18 +103,46 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 
     Duplicate clusters are the texts that are equal but for case and white space.
     """
+    python_batches(docs.sparkSession)
     body = F.coalesce("text", F.lit(""))
     cluster = F.xxhash64(F.lower(F.trim(F.regexp_replace(body, r"\s+", " "))))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("keyed"), F.col("source").cast("string"), F.octet_length(body).alias("size"), cluster.alias("cluster"))
+    # rows that are equal in all of this are counted, then numbered, so they spread like any others
+    rows = staged(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "pack-rows")
+    total = rows.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if (total["most"] or 0) > shard_rows:
+        # many copies of one row: dealt in portions before each becomes rows
+        portion = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(shard_rows).cast("long")))
+        rows = rows.withColumn("from", portion).withColumn("n", F.least(F.col("n") - F.col("from"), F.lit(shard_rows))).repartition(parts(rows), F.xxhash64("doc_id", "size", "from"))
+    else:
+        rows = rows.withColumn("from", F.lit(0).cast("long"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1))).drop("from", "n")
     # how many shards follows from the number of rows
-    shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
+    shards = max(1, -(-(total["all"] or 0) // shard_rows))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "copy"), F.lit(shards)))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["keyed", "doc_id", "size", "cluster"], kind="stable").reset_index(drop=True)
+        p = p.sort_values(["keyed", "doc_id", "size", "cluster", "copy"], kind="stable").reset_index(drop=True)
         got = pack_shard(p["size"].to_numpy(), pd.factorize(p["source"].astype(object).where(p["source"].notna(), None), use_na_sentinel=False)[0], pd.factorize(p["cluster"])[0], capacity)
         row, piece, begin, length, which, at = zip(*got, strict=True)
         row = list(row)
-        return pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[row], "keyed": p["keyed"].to_numpy()[row], "source": p["source"].to_numpy()[row], "piece": piece, "begin": begin, "length": length, "shard": p["shard"].iloc[0], "bin": pd.array(which, "Int32"), "at": at})
+        return pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[row], "keyed": p["keyed"].to_numpy()[row], "source": p["source"].to_numpy()[row], "cluster": p["cluster"].to_numpy()[row], "piece": piece, "begin": begin, "length": length, "shard": p["shard"].iloc[0], "bin": pd.array(which, "Int32"), "at": at})
 
     return rows.groupBy("shard").applyInPandas(run, SCHEMA).withColumn("doc_id", F.when(F.col("keyed"), F.col("doc_id"))).drop("keyed")
+
+
+def audit(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Per document of a packing: doc_id, pieces, bytes, faults (of its pieces and of the bins that they are in)."""
+    packed = staged(packed, "packed")
+    whole = Window.partitionBy("shard", "bin")
+    # a bin holds a piece of each source at most once, so such a window is never large
+    bins = packed.filter("bin is not null").withColumns({
+        "fill": F.sum("length").over(whole),
+        "overlap": F.when(F.lag(F.col("at") + F.col("length")).over(whole.orderBy("at")) > F.col("at"), 1).otherwise(0),
+        "same_source": F.count("*").over(Window.partitionBy("shard", "bin", "source")) - 1,
+        "same_cluster": F.count("*").over(Window.partitionBy("shard", "bin", "cluster")) - 1,
+    })
+    wrong = F.when((F.col("fill") > capacity) | (F.col("overlap") > 0) | (F.col("same_source") > 0) | (F.col("same_cluster") > 0) | (F.col("length") > capacity), 1).otherwise(0)
+    each = bins.select("doc_id", "begin", "length", wrong.alias("wrong")).unionAll(packed.filter("bin is null").select("doc_id", "begin", "length", F.when(F.col("length") > 0, 1).otherwise(0)))
+    seen = each.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("length").alias("bytes"), F.sum("wrong").alias("faults"), F.max(F.col("begin") + F.col("length")).alias("end"), F.countDistinct("begin").alias("begins"))
+    return seen.select("doc_id", "pieces", "bytes", (F.col("faults") + F.when((F.col("end") != F.col("bytes")) | (F.col("begins") != F.col("pieces")), 1).otherwise(0)).alias("faults"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, fingerprints, html, langid, packing, pii, quality, simjoin, tokens, toxicity
+from skein.llm import decontaminate, fingerprints, html, langid, oracles, packing, pii, quality, simjoin, tokens, toxicity
 from skein.llm.common import table
 
 
@@ -50,5 +50,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_pii, op3_html, op4_toxicity, op5_decontaminate, op6_quality, op7_jaccard, op8_packing, op9_fingerprints, op10_language)}
-ORACLES: dict[str, str] = {}
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_pii says of the base kinds."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_fingerprints without the digests."""
+    return op9_fingerprints(spark, sf_dir).drop("fingerprint", "edited_fingerprint")
+
+
+def packing_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its pieces, their bytes, and what is wrong with them (bytes missing or twice, bins that overflow or
+    hold a source or text twice)."""
+    return packing.audit(op8_packing(spark, sf_dir))
+
+
+_MAIN = (op1_token_ids, op2_pii, op3_html, op4_toxicity, op5_decontaminate, op6_quality, op7_jaccard, op8_packing, op9_fingerprints, op10_language)
+QUERIES = {f.__name__: f for f in (*_MAIN, pii_base_spans, fingerprint_edits, packing_faults)}
+ORACLES: dict[str, str] = {
+    "op3_html": oracles.HTML,
+    "op5_decontaminate": oracles.LEAKS,
+    "op7_jaccard": oracles.JACCARD,
+    "pii_base_spans": oracles.PII_BASE,
+    "fingerprint_edits": oracles.EDITS,
+    "packing_faults": oracles.PACKED,
+}
