@@ -7,11 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import stored
 
-def first_by_key(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
-    """The first row of each key in the given order; rows with an empty key all stay (and never meet in one task)."""
+
+def first_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key in ascending order of some columns (then of all others); rows with an empty key all stay
+    and never meet in one task.
+
+    Keys may be whole texts: 128 bits of hashes are shuffled in their place, and each task sends one row a key.
+    """
     keyed = df.filter((F.col(key) != "") & F.col(key).isNotNull())
-    first = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in order]
+    row = F.struct(*[F.col(f"`{c}`") for c in (*order, *rest)])
+    first = keyed.groupBy(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")).agg(F.min(row).alias("row"))
+    first = first.select(*[F.col("row")[c].alias(c) for c in df.columns])
     return first.unionByName(df.filter((F.col(key) == "") | F.col(key).isNull()))
 
 
@@ -51,13 +60,16 @@ def running_before(df: DataFrame, order: list[Column | str], cost: Column, name:
     Rows are dealt into ranges of the order (a fixed number of them, so that adaptive plans leave them as they are) and
     summed there; the sums of the ranges before are added, as few rows as there are ranges.
     """
+    part, own = (next(c for k in range(99) if (c := f"{x}{k}") not in df.columns) for x in ("part", "cost"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_cost", cost).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sums = dealt.groupBy("_part").agg(F.sum("_cost").alias("_sum"))
-    upto = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.coalesce(F.sum("_cost").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = dealt.withColumn(name, own).join(F.broadcast(sums.select("_part", upto.alias("_upto"))), "_part")
-    return out.withColumn(name, F.col(name) + F.col("_upto")).drop("_part", "_cost", "_upto")
+    # stored, as both the sums and the rows must see the same ranges
+    dealt = stored(df.withColumn(own, cost).repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(part).agg(F.sum(own).alias("upto"))
+    upto = F.coalesce(F.sum("upto").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = F.broadcast(sums.select(F.col(part).alias(f"{part}_of"), upto.alias(f"{own}_upto")))  # a row for each range
+    before = F.coalesce(F.sum(own).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn(name, before).join(sums, F.col(part) == F.col(f"{part}_of"))
+    return out.withColumn(name, F.col(name) + F.col(f"{own}_upto")).drop(part, own, f"{part}_of", f"{own}_upto")
 
 
 def ranked(df: DataFrame, order: list[Column | str], name: str = "rn") -> DataFrame:
@@ -121,3 +133,17 @@ def best_checkpoint(df: DataFrame, run: str) -> DataFrame:
 def numeric_suffix(c: Column) -> Column:
     """The number at a name's end; names with final sort last."""
     return F.when(F.contains(c, F.lit("final")), F.lit(2**31 - 1)).otherwise(F.regexp_extract(c, r"(\d+)\D*$", 1).try_cast("int"))
+
+
+def length_batches(df: DataFrame, length: str, key: str, size: int) -> DataFrame:
+    """df with batch: rows of like length together, size to a batch, from the shortest on."""
+    return ranked(df, [length, key], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))
+
+
+def eligible(similarity: Column, seconds: Column, least: float = 0.90, shortest: float = 4.0, longest: float = 9.0) -> Column:
+    """Whether a clip may be chosen: similar enough and of a middling length, limits included."""
+    return (similarity >= least) & seconds.between(shortest, longest)
+
+
+def group_minutes(df: DataFrame, group: str, seconds: str) -> DataFrame:
+    return df.groupBy(group).agg((F.sum(seconds) / 60).alias("minutes"))

@@ -43,7 +43,8 @@ def unique_counts(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key:
 
 
 def orphans(meta: DataFrame, media: DataFrame, key: str, meta_value: str, media_value: str, width: float) -> DataFrame:
-    """Rows of meta without media, with the number of media rows in the band around their value (0 if none)."""
+    """Rows of meta without media, with the number of media rows in the band around their value (0 if none); keys of meta
+    are distinct."""
     lost = meta.join(media.select(key), key, "left_anti")
     near = band_join(lost, media.select(F.col(media_value).alias("_media")), meta_value, "_media", width).groupBy(key).agg(F.count("*").alias("near"))
     return lost.join(near, key, "left").withColumn("near", F.coalesce("near", F.lit(0)))

@@ -77,3 +77,9 @@ def retention(df: DataFrame, by: str, kept: Column, size: str) -> DataFrame:
     """Per cent of size kept, 0 for none."""
     total = F.sum(size)
     return df.groupBy(by).agg(F.coalesce(F.sum(F.when(kept, F.col(size))) * 100.0 / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("retention_pct"))
+
+
+def running_sums(df: DataFrame, run: str, step: str, value: str) -> DataFrame:
+    """df with the sum and mean of value over a run's steps so far."""
+    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"{value}_sum": F.sum(value).over(w), f"{value}_mean": F.avg(value).over(w)})

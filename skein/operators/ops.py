@@ -140,3 +140,8 @@ def due_for_removal(runs: DataFrame, now: Column, seconds: int, done_only: bool
 def new_checkpoints(seen: DataFrame, found: DataFrame, every: int = 10) -> DataFrame:
     """Checkpoints not met before, with whether a sample is due at their epoch."""
     return found.join(seen.select("path"), "path", "left_anti").withColumn("sample", F.col("epoch") % every == 0)
+
+
+def cancel_set(jobs: DataFrame) -> DataFrame:
+    """Ids of running jobs that are to be cancelled, as a heartbeat's reply carries them."""
+    return jobs.filter((F.col("cancel") == 1) & (F.col("status") == "running")).select("id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.operators import curate, joins, match, segments
+from skein.operators import curate, joins, match, models, segments
 from skein.plans.base import Tables, query
 
 BAND = 0.5
@@ -42,12 +42,13 @@ def unique_counts(t: Tables) -> DataFrame:
     return joins.unique_counts(keys, keys.withColumnRenamed("left_key", "right_key"), band(t), "left_key", "right_key").select("pairs", "left_only")
 
 
-@query("""SELECT c_custkey, (SELECT count(*) FROM supplier WHERE abs(s_acctbal - c_acctbal) <= 50) AS near FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""WITH media AS (SELECT DISTINCT o_custkey AS k, c_acctbal AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice < 50000)
+SELECT c_custkey, (SELECT count(*) FROM media WHERE abs(v - c_acctbal) <= 5) AS near FROM customer WHERE c_custkey NOT IN (SELECT k FROM media)""")
 def orphans(t: Tables) -> DataFrame:
-    media = t.orders.select(F.col("o_custkey").alias("c_custkey"))
-    lost = t.customer.join(media, "c_custkey", "left_anti")
-    near = joins.band_join(lost, t.supplier, "c_acctbal", "s_acctbal", 50.0).groupBy("c_custkey").agg(F.count("*").alias("near"))
-    return lost.join(near, "c_custkey", "left").select("c_custkey", F.coalesce("near", F.lit(0)).alias("near"))
+    """Customers without a small urgent order, and how many of those with one have a like balance."""
+    small = t.orders.filter("o_orderpriority = '1-URGENT' AND o_totalprice < 50000").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    media = small.join(t.customer.select("c_custkey", F.col("c_acctbal").alias("v")), "c_custkey")
+    return joins.orphans(t.customer.select("c_custkey", "c_acctbal"), media, "c_custkey", "c_acctbal", "v", 5.0).select("c_custkey", "near")
 
 
 @query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 4)) AS w FROM benchmark),
@@ -64,13 +65,43 @@ def topk_candidates(t: Tables) -> DataFrame:
     return score.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").drop("rn")
 
 
-@query("SELECT item_id, count(*) AS n FROM benchmark b, documents d WHERE contains(d.text, substr(b.text, 1, 40)) GROUP BY item_id")
+@query("SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def phrase_contains(t: Tables) -> DataFrame:
-    """How many documents hold an item's first 40 characters; items are a small table, checked before it is sent out."""
-    items = t.benchmark.select("item_id", F.substring("text", 1, 40).alias("phrase"))
-    few = items.limit(match.BROADCAST_BOOKS + 1).count() <= match.BROADCAST_BOOKS
-    found = t.documents.select("text").join(F.broadcast(items) if few else items, F.contains("text", F.col("phrase")))
-    return found.groupBy("item_id").agg(F.count("*").alias("n"))
+    """How many documents hold an item's whole text: by its longest inner word, then by the text itself."""
+    inner = F.slice(F.split("text", r"\s+"), F.lit(2), F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(0)))
+    by_length = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    items = t.benchmark.select("item_id", F.col("text").alias("phrase"), F.get(by_length, F.lit(0))["w"].alias("word"))
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    keys = items.filter("word is not null").select("item_id", "word")
+    few = keys.limit(match.BROADCAST_BOOKS + 1).count() <= match.BROADCAST_BOOKS
+    near = words.join(F.broadcast(keys) if few else keys, "word").select("doc_id", "item_id")
+    found = near.join(items.select("item_id", "phrase"), "item_id").join(t.documents.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("phrase")))
+    # items of one or two words have no inner word: the few there may be are searched as they are
+    short = items.filter("word is null and phrase is not null")
+    plain = t.documents.select("doc_id", "text").join(short.select("item_id", "phrase"), F.contains("text", F.col("phrase"))) if not short.isEmpty() else None
+    every = found.select("item_id") if plain is None else found.select("item_id").unionAll(plain.select("item_id"))
+    return every.groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY n_chars, doc_id) - 1) / 32) AS BIGINT) AS batch FROM documents")
+def length_batches(t: Tables) -> DataFrame:
+    return curate.length_batches(t.documents.select("doc_id", "n_chars"), "n_chars", "doc_id", 32).select("doc_id", "batch")
+
+
+@query("SELECT source, round(sum(n_chars) / 60.0, 6) AS minutes FROM documents GROUP BY source")
+def group_minutes(t: Tables) -> DataFrame:
+    return curate.group_minutes(t.documents, "source", "n_chars").select("source", F.round("minutes", 6).alias("minutes"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice ROWS UNBOUNDED PRECEDING), 6) AS l_quantity_sum FROM lineitem")
+def running_sums(t: Tables) -> DataFrame:
+    rows = t.lineitem.withColumn("step", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
+    return models.running_sums(rows, "l_orderkey", "step", "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_quantity_sum", 6).alias("l_quantity_sum"))
+
+
+@query("SELECT doc_id, n_chars / 14.0::DOUBLE BETWEEN 4 AND 9 AND 1 - (doc_id % 20) / 100.0::DOUBLE >= 0.90::DOUBLE AS chosen FROM documents")
+def eligible(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", curate.eligible(1 - (F.col("doc_id") % 20) / 100.0, F.col("n_chars") / 14.0).alias("chosen"))
 
 
 @query("""SELECT conv_id, count(*) AS parts, max(length(text)) AS best, arg_min(role, turn) AS role FROM conversations GROUP BY conv_id""")
@@ -191,9 +222,9 @@ def key_union(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_nationkey").alias("key")).unionAll(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("SELECT DISTINCT c_nationkey AS key FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT s_suppkey FROM supplier")
 def key_minus(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_nationkey").alias("key")).distinct().join(t.supplier.select(F.col("s_nationkey").alias("key")), "key", "left_anti")
+    return t.part.select(F.col("p_partkey").alias("key")).distinct().join(t.supplier.select(F.col("s_suppkey").alias("key")), "key", "left_anti")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars > 200 AND n_chars < 5000")

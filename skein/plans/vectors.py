@@ -22,9 +22,9 @@ def centroids(t: Tables) -> DataFrame:
     return models.mean_vectors(units, "label", "u").select("label", V.unit(F.col("mean")).alias("centroid"))
 
 
-@query(UNITS + "SELECT vec_id, round(list_dot_product(u, c), 6) AS sim FROM u JOIN n USING (label) WHERE list_dot_product(u, c) >= 0.5::DOUBLE")
+@query(UNITS + "SELECT vec_id, round(list_dot_product(u, c), 6) AS sim FROM u JOIN n USING (label) WHERE list_dot_product(u, c) >= 0.1::DOUBLE")
 def centroid_gate(t: Tables) -> DataFrame:
-    return models.cosine_gate(t.embeddings, centroids(t), "label", "embedding", 0.5).select("vec_id", F.round("sim", 6).alias("sim"))
+    return models.cosine_gate(t.embeddings, centroids(t), "label", "embedding", 0.1).select("vec_id", F.round("sim", 6).alias("sim"))
 
 
 @query(UNITS + "SELECT a.label AS a, b.label AS b, round(list_dot_product(a.c, b.c), 6) AS sim FROM n a, n b WHERE a.label <> b.label")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -21,6 +22,17 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the cluster's shared folder (spark.checkpoint.dir; one of its own only in a local session) and
+    read from there: whatever is computed from it sees the same rows in the same partitions."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+    return df.checkpoint()
+
+
 def share_path(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (on a cluster it is installed, or sent with
     the job)."""

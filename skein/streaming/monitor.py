@@ -52,23 +52,27 @@ def latch(events: DataFrame, key: str, value: str, threshold: float) -> DataFram
     return events.select(key, "event_id", "ts", value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, ts timestamp, change string", "up boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def offline_latch(beats: DataFrame, key: str, quiet_ms: int = 180_000) -> DataFrame:
-    """One `offline` row when a key has been quiet for quiet_ms of processing time, one `online` when it is back."""
+def offline_latch(beats: DataFrame, key: str, quiet_ms: int = 180_000, running: str | None = None) -> DataFrame:
+    """One `offline` row when a key has been quiet for quiet_ms of processing time, one `online` when it is back.
+
+    With running (a column with the number of running jobs) only keys whose last beat reported any are missed.
+    """
     kind = beats.schema[key].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        down = state.get[0] if state.exists else False
+        down, busy = state.get if state.exists else (False, True)
         if state.hasTimedOut:
-            state.update((True,))
-            yield pd.DataFrame({key: [k[0]], "change": ["offline"]})
+            state.update((busy, busy))
+            yield pd.DataFrame({key: [k[0]] * busy, "change": ["offline"] * busy})
             return
-        for _ in frames:
-            pass
-        state.update((False,))
+        for p in frames:
+            busy = bool(p["jobs"].iloc[-1] > 0)
+        state.update((False, busy))
         state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({key: [k[0]] * down, "change": ["online"] * down})
 
-    return beats.select(key).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, change string", "down boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    jobs = F.coalesce(F.col(running).cast("int"), F.lit(0)) if running else F.lit(1)
+    return beats.select(key, jobs.alias("jobs")).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, change string", "down boolean, busy boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def new_checkpoints(files: DataFrame, every: int = 10) -> DataFrame:

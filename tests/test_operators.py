@@ -81,6 +81,46 @@ def test_packer():
     assert got[0] == (0, 6) and got[-1][1] == n - 1 and all(a == b + 1 for (a, _), (_, b) in zip(got[1:], got))
     assert segments.pack_words([0.0], [1.0], [True]) == [(0, 0)] and segments.pack_words([], [], []) == []
     assert segments.pack_words([0.0, 20.0], [15.0, 21.0], [False, True]) == [(0, 1)]
+    gaps = [0.0, 1.0, 20.0, 21.0, 22.0, 23.0, 24.0]
+    assert segments.pack_words(gaps, [x + 0.9 for x in gaps], [False] * 7) == [(0, 0), (1, 1), (2, 6)]
+
+
+def test_packer_properties():
+    """Every clip is the best choice of its first word, by trying all stops."""
+    rng = random.Random(3)
+    for _ in range(300):
+        t, start, end = 0.0, [], []
+        for _ in range(rng.randrange(1, 40)):
+            start.append(t)
+            end.append(t + rng.choice([0.2, 0.7, 2.5, 13.0]))
+            t = end[-1] + rng.choice([0.0, 0.1, 0.3, 6.0])
+        ends = [rng.random() < 0.2 for _ in start]
+        n, want, i = len(start), [], 0
+        while i < n:
+            table = {}
+            for j in range(i, n):
+                length = end[j] - start[i]
+                if j > i and length > 12:
+                    break
+                if length >= 4 or j == n - 1:
+                    table[j] = -0.15 * abs(length - 7) + 3 * ends[j] + (j == n - 1 or start[j + 1] - end[j] >= 0.12)
+            top = min((j for j in table if table[j] == max(table.values())), default=i)
+            want.append((i, top))
+            i = top + 1
+        if len(want) > 1 and end[-1] - start[want[-1][0]] < 4:
+            want[-2:] = [(want[-2][0], n - 1)]
+        assert segments.pack_words(start, end, ends) == want
+
+
+def test_small_operators(spark):
+    jobs = spark.createDataFrame([(1, "running", 1), (2, "running", 0), (3, "queued", 1)], "id long, status string, cancel int")
+    assert [r.id for r in ops.cancel_set(jobs).collect()] == [1]
+    clips = spark.createDataFrame([(0.90, 4.0), (0.90, 9.0), (0.89, 5.0), (0.95, 9.1)], "s double, d double")
+    assert [r.c for r in clips.select(curate.eligible(F.col("s"), F.col("d")).alias("c")).collect()] == [True, True, False, False]
+    rows = spark.createDataFrame([("x", 2, "b", 5), ("x", 1, "c", 6), ("", 1, "d", 7), (None, 1, "e", 8), ("y", 3, "f", 9)], "k string, rank int, _rn string, h1 int")
+    assert sorted(r._rn for r in curate.first_by_key(rows, "k", ["rank"]).collect()) == ["c", "d", "e", "f"]
+    got = curate.ranked(rows.withColumnsRenamed({"_rn": "_part", "h1": "_cost"}), ["_part"]).collect()
+    assert [r.rn for r in sorted(got, key=lambda r: r._part)] == [1, 2, 3, 4, 5] and got[0]._cost is not None
 
 
 def test_intervals(spark):
