@@ -61,9 +61,13 @@ TASK_BYTES = 16 << 20
 
 
 def parts(df: DataFrame) -> int:
-    """Into how many parts to deal df: as many as the session shuffles into, more if the data are more than that holds."""
+    """Into how many parts to deal df: as many as the session shuffles into, more if the data are more than that holds.
+
+    Where the optimiser knows no size (it then assumes one beyond any table), the session's number holds.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(partitions(df.sparkSession), -(-size // TASK_BYTES)), 1 << 20)
+    known = -(-size // TASK_BYTES) if size < 1 << 56 else 0
+    return max(partitions(df.sparkSession), known)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

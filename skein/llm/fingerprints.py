@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import maybe_broadcast, partitions, range_bucket, staged
+from skein.llm.common import maybe_broadcast, parts, range_bucket, staged
 
 #: Bucket keys (16 bytes each) that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -78,8 +78,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], order: Column) -> D
     Rows are dealt into ranges of key; each range also gets the first row of the range after it, so no range needs
     another's rows and none holds more than its share. order breaks ties among equal keys.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("bucket", range_bucket(docs, key, 4 * partitions(spark)))
+    docs = docs.withColumn("bucket", range_bucket(docs, key, 4 * parts(docs)))
     firsts = docs.groupBy("bucket").agg(F.min(key).alias("first_key"))
     # as many rows as there are ranges, whatever the input
     at = Window.orderBy("bucket")

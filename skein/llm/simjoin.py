@@ -375,7 +375,7 @@ def _cross(docs: DataFrame, inside: DataFrame, n: int, percent: int) -> DataFram
 
 
 def common(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many codes each two of the sets codes[at[d]:at[d + 1]] share, as a square matrix.
+    """How many codes each two of the sets codes[at[d]:at[d + 1]] share, as a square matrix (its diagonal means nothing).
 
     Codes in many sets are columns of a product of matrices; for those in few the pairs of sets are counted.
     """

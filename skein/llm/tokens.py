@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import partitions, python_batches, range_bucket, scratch, staged
+from skein.llm.common import parts, python_batches, range_bucket, scratch, staged
 
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps, and how many of them when they are too many.
@@ -213,10 +213,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None
         if made:
             yield pa.RecordBatch.from_pylist(made, schema)
 
-    n = 2 * partitions(spark)
+    n = 2 * parts(docs)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("shard", range_bucket(rows, "doc_id", n))
-    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    dealt = rows.repartitionById(n + 1, (F.col("shard") + 1).cast("int")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     dealt.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     shards = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum("n_ids").cast("long").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein.llm import packing
 from skein.llm.common import table
 from tests.llm.helpers import docs
@@ -73,3 +75,12 @@ def test_corner_cases(spark):
     assert [r.bin for r in out if r.doc_id in (0, 1)] == [None, None] and packing.pack(docs(spark, [])).count() == 0
     odd = d.unionAll(d).unionAll(spark.createDataFrame([(None, "t", None, None, None)], d.schema))
     assert packing.pack(odd).filter("doc_id is null").collect()[0].length == 1
+
+
+def test_equal_rows_spread_and_nothing_is_wrong(spark):
+    d = docs(spark, ["some text here", None, "x" * 20_000]).withColumn("n_chars", F.lit(None).cast("long"))
+    many = d.unionAll(docs(spark, ["t " * 300]).withColumn("doc_id", F.lit(None).cast("long")).crossJoin(spark.range(300)).drop("id"))
+    packed = packing.pack(many, shard_rows=50)
+    rows_ = packed.collect()
+    assert len(rows_) == 2 + 3 + 300 and len({r.shard for r in rows_ if r.doc_id is None}) > 3
+    assert all(r.faults == 0 for r in packing.audit(packing.pack(d)).collect())

@@ -3,11 +3,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import simjoin
 from skein.llm.common import table
 from skein.llm.graph import components
-from skein.llm.shingles import shingle_sets
+from skein.llm.shingles import exact_sets, shingle_sets
 from tests.llm.helpers import docs, rows
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -111,6 +112,74 @@ def test_all_pairs_of_signatures_are_met():
         assert part(small, simjoin._ASKS) & part(large, simjoin._HAS) or np.array_equal(x, y)
 
 
+def pairs_of(texts, n=4, percent=85):
+    """Links between different sets, each named by its first place."""
+    sets, first = [plain_set(t, n) for t in texts], {}
+    for k, s in enumerate(sets):
+        first.setdefault(frozenset(s), k)
+    reps = [k for s, k in first.items() if s]
+    return {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}, [first[frozenset(s)] if s else k for k, s in enumerate(sets)]
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """Also where a group is dealt over many pairs of blocks."""
+    rng = random.Random(8)
+    texts = ["", None, "a b", "A  b"]
+    for size in (12, 40, 90):
+        base = [f"w{rng.randrange(300)}" for _ in range(size)]
+        for k in range(30):
+            texts.append(family(rng, base, rng.choice([0, 1, 1, 2, size // 15])))
+            base = family(rng, base, 1).split() if k % 6 == 5 else base
+    want, classes = pairs_of(texts)
+    for sets, shingles in ((simjoin.BLOCK_SETS, simjoin.BLOCK_SHINGLES), (7, 10**6), (10**6, 300)):
+        monkeypatch.setattr(simjoin, "BLOCK_SETS", sets)
+        monkeypatch.setattr(simjoin, "BLOCK_SHINGLES", shingles)
+        d = docs(spark, texts)
+        got = rows(simjoin.jaccard_components(d))
+        assert [got[k]["class_id"] for k in range(len(texts))] == classes
+        assert all(got[k]["n_links"] == sum(classes[k] in p for p in want) for k in range(len(texts)))
+        assert [got[k]["component_id"] for k in range(len(texts))] == [expected(list(enumerate(texts)))[k][1] for k in range(len(texts))]
+    links = [(r.a, r.b) for r in simjoin.jaccard_links(d).collect()]
+    assert set(links) == want and len(links) == len(want)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    for k, n, most in ((1, 5, 9), (40, 30, 60), (60, 8, 1000), (30, 0, 5)):
+        sets = [np.unique(rng.integers(0, most, n)) for _ in range(k)]
+        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+        got = simjoin.common(np.concatenate([np.zeros(0, np.int64), *sets]), at)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(k) for j in range(k) if i != j)
+
+
+def test_words_that_polynomials_confuse(spark):
+    t = [0]
+    while len(t) < 4096:
+        t += [1 - x for x in t]
+    texts = ["".join("ab"[x] for x in t), "".join("ba"[x] for x in t)]
+    got = rows(simjoin.jaccard_components(docs(spark, [*texts, *(f"{x} y z w" for x in texts)])))
+    assert all(r["component_id"] == k and r["n_links"] == 0 for k, r in got.items())
+
+
+def test_exact_sets():
+    texts = ["a b c d e a b c d e", "a b", "A  b", "b c d e", None, "", "é É", "x " * 4000, "e a b c\x0bd", "a b c"]
+    codes, at = exact_sets(pa.array(texts), 4)
+    sets = [set(codes[at[k] : at[k + 1]].tolist()) for k in range(len(texts))]
+    plain = [plain_set(t) for t in texts]
+    assert all(len(x) == len(y) for x, y in zip(sets, plain, strict=True))
+    assert all(len(sets[i] & sets[j]) == len(plain[i] & plain[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_rows_of_one_id(spark):
+    """Each row's links count, whatever another row of its id is a copy of; different texts of an id stay together."""
+    long = [" ".join(f"{x}{i}" for i in range(40)) for x in "pqr"]
+    d = docs(spark, [long[0], long[0], long[1], long[1] + " end", long[2]]).withColumn("doc_id", F.element_at(F.array(*map(F.lit, (0, 5, 5, 8, 9))), F.col("doc_id").cast("int") + 1).cast("long"))
+    got = {(r.doc_id, r.component_id) for r in simjoin.jaccard_components(d).collect()}
+    assert got == {(0, 0), (5, 0), (8, 0), (9, 9)}
+    alone = d.filter("doc_id in (5, 9)").unionAll(d.filter("doc_id = 9"))
+    assert sorted(r.doc_id for r in simjoin.keep_one(alone).collect()) == [5, 5, 9]
+
+
 def test_table(spark):
     check(table(spark, "/root/testdata/sf0.01", "documents"))
 
