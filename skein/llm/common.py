@@ -112,14 +112,18 @@ def scan(values: Column, plus: Callable[[Column, Column], Column], kind: str) ->
     return let(values.cast(f"array<{kind}>"), whole)
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most limit rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int, weight: Column | None = None) -> bool:
+    """Whether df has at most limit rows, and elements by weight if given; reads little more than that many rows."""
+    n = F.count("*") if weight is None else F.greatest(F.count("*"), F.coalesce(F.sum(weight), F.lit(0)))
+    return df.limit(limit + 1).agg(n).first()[0] <= limit
 
 
-def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """df with a broadcast hint if its row count, checked here, is within limit; else as it is (a shuffle join)."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+def maybe_broadcast(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if its size, checked here, is within limit; else as it is (a shuffle join).
+
+    Rows count; where they hold arrays, give a weight: the number of their elements.
+    """
+    return F.broadcast(df) if small_enough(df, limit, weight) else df
 
 
 def _search(value: Column, bounds: list[int], lo: int, hi: int) -> Column:

@@ -35,8 +35,10 @@ BITS = 64
 #: At a similarity of 0.8 the fingerprints of two sets of shingles differ by 10 bits on average, deviation 3.
 RADIUS = 20
 BLOCKS = 8
-#: Rows of the items' tables that may be broadcast; more are joined by a shuffle.
+#: Numbers in the items' tables that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Keys (two numbers each) of documents that may be broadcast.
+KEY_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -157,10 +159,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = each.join(maybe_broadcast(known, BROADCAST_ROWS), "shingle").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("hits"))
     # fewer than the shortest item (or a text of one shingle) needs: no window
     hits = staged(hits.filter(F.size("hits") >= least_common(F.lit(1), F.lit(min(sizes, default=1)))), "window-hits")
-    found = texts.join(maybe_broadcast(hits, BROADCAST_ROWS // 8), ["doc_id", "row"]).select("doc_id", "row", "hits", shingles(F.col("w")).alias("s"))
+    # only keys may be sent to all: texts and places, whose size nothing bounds, meet by a shuffle of the texts found
+    found = texts.join(maybe_broadcast(hits.select("doc_id", "row"), KEY_ROWS), ["doc_id", "row"], "left_semi").select("doc_id", "row", shingles(F.col("w")).alias("s"))
     # tables of their own: what is read more than once in a row must be a stored column
-    found = staged(found.withColumn("size", F.size("s")), "leak-texts").dropDuplicates(["doc_id", "row"])
-    some = staged(found.withColumn("windows", _windows(F.col("hits"), F.col("size"), sizes)).filter(F.size("windows") > 0).drop("hits"), "windowed-texts")
+    found = staged(found.withColumn("size", F.size("s")), "leak-texts")
+    some = found.dropDuplicates(["doc_id", "row"]).join(hits.hint("merge"), ["doc_id", "row"])
+    some = staged(some.withColumn("windows", _windows(F.col("hits"), F.col("size"), sizes)).filter(F.size("windows") > 0).drop("hits"), "windowed-texts")
     per = lanes(max([*sizes, some.agg(F.max("size")).first()[0] or 1]))
     printed = some.withColumn("sums", votes(F.col("s"), per)).select("doc_id", "row", "size", "sums", F.explode("windows").alias("w"))
     # a table of its own: every block of the value would repeat the expression
@@ -171,13 +175,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = _blocks(printed, ["doc_id", "row", "m", "start"], near=False).join(maybe_broadcast(index, BROADCAST_ROWS), ["m", "block", "value"])
     near = near.filter(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_hash"))) <= RADIUS).select("doc_id", "row", "m", "start", "item_id", "item_row").distinct()
     near = staged(near, "near-windows")
-    both = near.join(maybe_broadcast(some.select("doc_id", "row", "s"), BROADCAST_ROWS // 40), ["doc_id", "row"])
-    both = both.join(maybe_broadcast(items.select("item_id", "item_row", "shingles"), BROADCAST_ROWS // 40), ["item_id", "item_row"])
+    both = near.join(some.select("doc_id", "row", "s").hint("merge"), ["doc_id", "row"])
+    both = both.join(maybe_broadcast(items.select("item_id", "item_row", "shingles"), BROADCAST_ROWS, F.size("shingles")), ["item_id", "item_row"])
     both = both.select("doc_id", "item_id", "start", F.slice("s", F.col("start") + 1, F.col("m")).alias("own"), "shingles")
     exact = both.withColumn("similarity", multiset_jaccard(F.col("own"), F.col("shingles"))).filter(F.col("similarity") >= SIMILARITY)
     best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
     out = staged(best.select("doc_id", "item_id", (-F.col("b.back")).cast("int").alias("start"), F.col("b.similarity").alias("similarity")), "leaked")
-    discard(items, hits, some, printed, marked, index, near)
+    discard(items, hits, found, some, printed, marked, index, near)
     return out
 
 
