@@ -87,7 +87,7 @@ def candidates(recordings: DataFrame, books: DataFrame, top: int = 3, least: flo
         pairs = pairs.drop("_q", "_p").distinct().withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_r") * F.col("_b")))).drop("_n")
     else:
         few = books.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS
-        pairs = rec.crossJoin(F.broadcast(books) if few else books)  # the reference's own all-pairs scoring
+        pairs = rec.crossJoin(F.broadcast(books) if few else books)  # every pair is scored, as asked
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 ACTIVE = ("queued", "running")
 FINAL = ("done", "failed", "canceled")
-#: Losses and steps in a training log's line.
+# The form of a training log's lines.
 EPOCH = r"Epoch \[(\d+)/(\d+)\].*?Step \[(\d+)/(\d+)\]"
 LOSS = r"([A-Za-z0-9]+(?: [A-Za-z0-9]+)?) Loss: ([\d.]+)"
 

@@ -257,9 +257,10 @@ def pack_segments(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_candidates(t: Tables) -> DataFrame:
-    """Benchmark items as works, pages as books by the words of their titles."""
-    recordings = t.benchmark.select(F.col("item_id").alias("id"), F.lit("").alias("author"), F.substring_index("text", " ", 4).alias("work"))
-    books = t.pages.select(F.col("url").alias("path"), X.tokens(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("tokens"))
+    """Pages as recordings by their whole titles, benchmark items as books by the words of their whole texts."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    recordings = t.pages.select(F.col("page_id").alias("id"), F.lit("").alias("author"), title.alias("work"))
+    books = t.benchmark.select(F.col("item_id").cast("string").alias("path"), X.tokens(F.col("text")).alias("tokens"))
     return match.candidates(recordings, books, blocked=True).select("id", "path", F.round("score", 6).alias("score"), "tier")
 
 
