@@ -130,6 +130,15 @@ def best_checkpoint(df: DataFrame, run: str) -> DataFrame:
     return df.groupBy(run).agg(F.max_by(F.struct("path", "epoch"), F.struct((F.col("epoch") == F.col("best_epoch")).cast("int"), F.col("epoch"))).alias("b")).select(run, "b.path", "b.epoch")
 
 
+def chosen_checkpoints(df: DataFrame, epochs: list[int]) -> DataFrame:
+    """epoch, path of the checkpoints asked for, path null where there is none; an error if there are none at all."""
+    asked = df.sparkSession.createDataFrame([(e,) for e in dict.fromkeys(epochs)], "epoch int")
+    out = asked.join(df.groupBy("epoch").agg(F.min("path").alias("path")), "epoch", "left")
+    if out.filter("path is not null").isEmpty():
+        raise ValueError(f"no checkpoint of epochs {epochs}")
+    return out
+
+
 def numeric_suffix(c: Column) -> Column:
     """The number at a name's end; names with final sort last."""
     return F.when(F.contains(c, F.lit("final")), F.lit(2**31 - 1)).otherwise(F.regexp_extract(c, r"(\d+)\D*$", 1).try_cast("int"))
@@ -147,3 +156,8 @@ def eligible(similarity: Column, seconds: Column, least: float = 0.90, shortest:
 
 def group_minutes(df: DataFrame, group: str, seconds: str) -> DataFrame:
     return df.groupBy(group).agg((F.sum(seconds) / 60).alias("minutes"))
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many distinct values each column has, nulls aside."""
+    return df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in columns])

@@ -24,6 +24,12 @@ def classify_pairs(pairs: DataFrame, error: str = "bit_error", delta: str = "del
     return pairs.withColumn("class", kind).filter(F.col("class").isNotNull())
 
 
+def pair_lists(classified: DataFrame, order: list[str], error: str = "bit_error", delta: str = "delta", most: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Of classified pairs the duplicates, least error first, and the first most of those of the same length."""
+    same = classified.filter("class = 'same-length'").orderBy(F.abs(F.col(delta)), *order).limit(most)
+    return classified.filter("class = 'duplicate'").orderBy(error, *order), same
+
+
 def best_partner(pairs: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
     """For each key the pair that comes first; a partner may serve several keys."""
     return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")

@@ -36,6 +36,26 @@ def band_class(t: Tables) -> DataFrame:
     return joins.classify_pairs(band(t).withColumn("bit_error", error), most_delta=0.3).select("left_key", "right_key", "class")
 
 
+@query(BAND_SQL + """, e AS (SELECT *, (left_key + right_key) % 10 / 20.0::DOUBLE AS error FROM p)
+SELECT 'duplicate' AS class, left_key, right_key FROM e WHERE error <= 0.25::DOUBLE
+UNION ALL SELECT * FROM (SELECT 'same-length', left_key, right_key FROM e WHERE error > 0.25::DOUBLE AND delta <= 0.3::DOUBLE ORDER BY delta, left_key, right_key LIMIT 40)""")
+def pair_lists(t: Tables) -> DataFrame:
+    """The two lists of a dedup report: all duplicates, the first 40 pairs of like length (a top list is what it is for)."""
+    pairs = band(t).withColumn("bit_error", (F.col("left_key") + F.col("right_key")) % 10 / 20.0)
+    double, same = joins.pair_lists(joins.classify_pairs(pairs, most_delta=0.3), ["left_key", "right_key"])
+    return double.select("class", "left_key", "right_key").unionAll(same.select("class", "left_key", "right_key"))
+
+
+@query("SELECT e AS epoch, (SELECT min(p_name) FROM part WHERE p_size = e) AS path FROM (SELECT unnest([1, 10, 50, 999]) AS e)")
+def chosen_checkpoints(t: Tables) -> DataFrame:
+    return curate.chosen_checkpoints(t.part.select(F.col("p_size").alias("epoch"), F.col("p_name").alias("path")), [1, 10, 50, 999])
+
+
+@query("SELECT count(DISTINCT user_id) AS user_id, count(DISTINCT event_type) AS event_type FROM events")
+def distinct_counts(t: Tables) -> DataFrame:
+    return curate.distinct_counts(t.events, ["user_id", "event_type"])
+
+
 @query(BAND_SQL + "SELECT (SELECT count(DISTINCT left_key) FROM p) AS pairs, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT left_key FROM p)) AS left_only")
 def unique_counts(t: Tables) -> DataFrame:
     keys = t.orders.select(F.col("o_orderkey").alias("left_key"))
