@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate as dc
-from skein.llm.common import table
+from skein.llm.common import small_enough, table
 from tests.llm.helpers import docs, rows
 
 
@@ -126,3 +126,11 @@ def test_no_python(spark):
     d, b = docs(spark, ["one two three four five six"]), spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     plan = dc.find_leaks(d, b)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and rows(dc.find_leaks(d, b))
+
+
+def test_sizes_are_checked_by_elements_too(spark):
+    """A few rows with long arrays are no small table."""
+    df = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(100)).alias("a"))
+    assert small_enough(df, 3) and not small_enough(df, 2)
+    assert small_enough(df, 300, F.size("a")) and not small_enough(df, 299, F.size("a"))
+    assert small_enough(df.filter("id < 0"), 0, F.size("a"))
