@@ -97,3 +97,31 @@ FROM e JOIN c USING (canon)"""
 PACKED = """
 SELECT doc_id, greatest(CAST(ceil(n / 8192.0) AS BIGINT), 1) AS pieces, CAST(n AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS faults
 FROM (SELECT doc_id, strlen(COALESCE(text, '')) AS n FROM documents)"""
+
+#: Every document scored for every item.
+RANKED = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT CAST(COUNT(*) AS BIGINT) AS n_docs, CAST(SUM(len(w)) AS BIGINT) AS n_words FROM w WHERE len(w) > 0),
+asked AS (SELECT item_id, t, COUNT(*) AS times FROM (SELECT item_id, UNNEST(w) AS t FROM q) GROUP BY ALL),
+tf AS (SELECT doc_id, n, t, COUNT(*) AS tf FROM (SELECT doc_id, len(w) AS n, UNNEST(w) AS t FROM w) GROUP BY ALL),
+df AS (SELECT t, COUNT(*) AS df FROM tf GROUP BY t),
+adds AS (SELECT doc_id, t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words))) AS add
+  FROM tf JOIN df USING (t), c WHERE t IN (SELECT t FROM asked)),
+scored AS (SELECT item_id, doc_id, CAST(SUM(add * times) AS BIGINT) AS score FROM asked JOIN adds USING (t) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20"""
+
+#: Texts grouped as they are.
+EXACT = """
+WITH n AS (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, MAX(doc_id) AS keep_id, COUNT(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
+
+#: Whole numbers only: what op11_whitening says without components.
+DEVIATIONS = """
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+e AS (SELECT vec_id, UNNEST(x) AS x, UNNEST(range(len(x))) AS i FROM good),
+s AS (SELECT i, CAST(SUM(x) AS BIGINT) AS s, COUNT(*) AS n FROM e GROUP BY i)
+SELECT vec_id, n, CAST(SUM((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM e JOIN s USING (i) GROUP BY vec_id, n"""

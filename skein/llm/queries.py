@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, fingerprints, html, langid, oracles, packing, pii, quality, simjoin, tokens, toxicity
+from skein.llm import decontaminate, exactdedup, fingerprints, html, langid, oracles, packing, pii, quality, search, simjoin, tokens, toxicity, whitening
 from skein.llm.common import table
 
 
@@ -50,6 +50,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.report(table(spark, sf_dir, "documents"))
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11_whitening says that no component decides."""
+    return op11_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2_pii says of the base kinds."""
     return op2_pii(spark, sf_dir).drop("spans")
@@ -66,12 +83,15 @@ def packing_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.audit(op8_packing(spark, sf_dir))
 
 
-_MAIN = (op1_token_ids, op2_pii, op3_html, op4_toxicity, op5_decontaminate, op6_quality, op7_jaccard, op8_packing, op9_fingerprints, op10_language)
-QUERIES = {f.__name__: f for f in (*_MAIN, pii_base_spans, fingerprint_edits, packing_faults)}
+_MAIN = (op1_token_ids, op2_pii, op3_html, op4_toxicity, op5_decontaminate, op6_quality, op7_jaccard, op8_packing, op9_fingerprints, op10_language, op11_whitening, op12_search, op13_exact_dedup)
+QUERIES = {f.__name__: f for f in (*_MAIN, whitening_deviations, pii_base_spans, fingerprint_edits, packing_faults)}
 ORACLES: dict[str, str] = {
     "op3_html": oracles.HTML,
     "op5_decontaminate": oracles.LEAKS,
     "op7_jaccard": oracles.JACCARD,
+    "op12_search": oracles.RANKED,
+    "op13_exact_dedup": oracles.EXACT,
+    "whitening_deviations": oracles.DEVIATIONS,
     "pii_base_spans": oracles.PII_BASE,
     "fingerprint_edits": oracles.EDITS,
     "packing_faults": oracles.PACKED,
