@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from skein.plans import corpus, monitoring, relations, vectors  # noqa: F401
+from skein.plans import corpus, monitoring, relations, speech, vectors  # noqa: F401
 from skein.plans.base import ORACLES, QUERIES  # noqa: F401
