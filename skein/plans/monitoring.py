@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import times
 from skein.operators import joins, ops, segments
 from skein.plans.base import Tables, query
+from skein.session import scratch
+from skein.sources import increments
 from skein.streaming import monitor
 
 #: The moment that queries take for now (inside the events' month).
@@ -82,14 +82,18 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def log_line() -> Column:
+    """An event as a line of a training log."""
+    loss = lambda d: F.format_string("%.2f", F.floor("value") / d)
+    return F.concat(F.lit("Epoch ["), (F.col("event_id") % 80).cast("string"), F.lit("/80], Step ["), (F.col("event_id") % 670).cast("string"), F.lit("/670], Loss: "), loss(4), F.lit(", F0 Loss: "), loss(2))
+
+
 LINE = "'Epoch [' || (event_id % 80) || '/80], Step [' || (event_id % 670) || '/670], Loss: ' || printf('%.2f', floor(value) / 4) || ', F0 Loss: ' || printf('%.2f', floor(value) / 2)"
 
 
 @query(f"""WITH l AS (SELECT event_id, {LINE} AS line FROM events) SELECT event_id, CAST(regexp_extract(line, 'Epoch \\[(\\d+)/', 1) AS INT) AS epoch, CAST(regexp_extract(line, 'Step \\[(\\d+)/', 1) AS INT) AS step, CAST(regexp_extract(line, 'F0 Loss: ([\\d.]+)', 1) AS DOUBLE) AS f0 FROM l""")
 def log_parse(t: Tables) -> DataFrame:
-    loss = lambda d: F.format_string("%.2f", F.floor("value") / d)
-    line = F.concat(F.lit("Epoch ["), (F.col("event_id") % 80).cast("string"), F.lit("/80], Step ["), (F.col("event_id") % 670).cast("string"), F.lit("/670], Loss: "), loss(4), F.lit(", F0 Loss: "), loss(2))
-    return ops.parse_log(t.events.select("event_id", line.alias("line"))).select("event_id", "epoch", "step", F.col("losses")["F0"].alias("f0"))
+    return ops.parse_log(t.events.select("event_id", log_line().alias("line"))).select("event_id", "epoch", "step", F.col("losses")["F0"].alias("f0"))
 
 
 @query("""WITH j AS (SELECT user_id AS channel, CAST(ts AS DATE) AS day, max(event_id) AS job_id FROM events WHERE event_type = 'click' GROUP BY ALL)
@@ -154,17 +158,33 @@ def time_formats(t: Tables) -> DataFrame:
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def stream_latest(t: Tables) -> DataFrame:
     s = monitor.read_events(t.spark, t.sf_dir)
-    return monitor.to_memory(monitor.latest_by_key(s, "user_id", ["event_id"], ["ts", "event_id"]), f"latest_{uuid.uuid4().hex}", "complete")
+    return monitor.through_files(monitor.latest_by_key(s, "user_id", ["event_id"], ["ts", "event_id"]), scratch(t.spark), "complete")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t: Tables) -> DataFrame:
     s = monitor.read_events(t.spark, t.sf_dir).select("user_id", "event_type")
-    return monitor.to_memory(monitor.first_seen(s, ["user_id", "event_type"]), f"dedup_{uuid.uuid4().hex}")
+    return monitor.through_files(monitor.first_seen(s, ["user_id", "event_type"]), scratch(t.spark))
 
 
 @query("""WITH l AS (SELECT event_id, user_id, value < 20 AS low, coalesce(lag(value < 20) OVER (PARTITION BY user_id ORDER BY ts, event_id), FALSE) AS was FROM events)
 SELECT event_id, user_id, CASE WHEN low THEN 'raised' ELSE 'cleared' END AS change FROM l WHERE low <> was""")
 def stream_latch(t: Tables) -> DataFrame:
     s = monitor.read_events(t.spark, t.sf_dir)
-    return monitor.to_memory(monitor.latch(s, "user_id", "value", 20.0), f"latch_{uuid.uuid4().hex}").select("event_id", "user_id", "change")
+    return monitor.through_files(monitor.latch(s, "user_id", "value", 20.0), scratch(t.spark)).select("event_id", "user_id", "change")
+
+
+@query(f"""WITH l AS (SELECT user_id AS job, ts, event_id, {LINE} AS line FROM events)
+SELECT job, event_id, CAST(regexp_extract(line, 'Epoch \\[(\\d+)/', 1) AS INT) AS epoch, CAST(regexp_extract(line, 'Step \\[(\\d+)/', 1) AS INT) AS step, CAST(regexp_extract(line, 'F0 Loss: ([\\d.]+)', 1) AS DOUBLE) AS f0,
+  COUNT(*) OVER (PARTITION BY job) AS lines
+FROM l QUALIFY row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) = 1""")
+def progress_upsert(t: Tables) -> DataFrame:
+    """A log as a stream: lines appended, the newest progress of each job upserted; each batch comes twice."""
+    at = scratch(t.spark)
+    sink = increments.Increments(f"{at}/progress", ("job",), ("ts", "event_id"))
+    log = monitor.read_events(t.spark, t.sf_dir).select(F.col("user_id").alias("job"), "ts", "event_id", log_line().alias("line"))
+    parsed = lambda b: ops.parse_log(b).drop("line")
+    increments.follow(log, sink, f"{at}/checkpoint", parsed)
+    increments.follow(log, sink, f"{at}/again", parsed)  # as after a crash: the same batches, a checkpoint that knows of none
+    counts = sink.lines(t.spark, "job long, ts timestamp, event_id long, line string").groupBy("job").agg(F.count("*").alias("lines"))
+    return sink.rows(t.spark).join(counts, "job").select("job", "event_id", "epoch", "step", F.col("losses")["F0"].alias("f0"), "lines")

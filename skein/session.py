@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,16 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one (spark.checkpoint.dir; one of this process only in a local session)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='skein-')}"
+    return f"{named}/skein/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the cluster's shared folder (spark.checkpoint.dir; one of its own only in a local session) and
     read from there: whatever is computed from it sees the same rows in the same partitions."""

@@ -33,7 +33,8 @@ def first_seen(events: DataFrame, keys: list[str], late: str | None = None) -> D
 def latch(events: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
     """Changes of a latch by key: raised when value falls below the threshold, cleared when it is back; each once.
 
-    The state holds whether the latch is up. Rows of one micro-batch are taken in order of time.
+    The state holds whether the latch is up. Rows of one micro-batch are taken in order of time; micro-batches must come in
+    that order by key, as rows from one host do (a late row would be taken as the newest).
     """
     kind = events.schema[key].dataType.simpleString()
 
@@ -52,11 +53,14 @@ def latch(events: DataFrame, key: str, value: str, threshold: float) -> DataFram
     return events.select(key, "event_id", "ts", value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, ts timestamp, change string", "up boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def offline_latch(beats: DataFrame, key: str, quiet_ms: int = 180_000, running: str | None = None) -> DataFrame:
+def offline_latch(beats: DataFrame, key: str | None, quiet_ms: int = 180_000, running: str | None = None) -> DataFrame:
     """One `offline` row when a key has been quiet for quiet_ms of processing time, one `online` when it is back.
 
-    With running (a column with the number of running jobs) only keys whose last beat reported any are missed.
+    With running (a column with the number of running jobs) only keys whose last beat reported any are missed. Without a
+    key there is one latch for all hosts: quiet when none is heard, back when any is (key is then `hosts`, always `all`).
     """
+    if key is None:
+        beats, key = beats.withColumn("hosts", F.lit("all")), "hosts"
     kind = beats.schema[key].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -100,3 +104,9 @@ def to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     else:
         q = df.writeStream.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def through_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """The result of a stream over all that is there, by way of files in a shared folder."""
+    to_files(df, f"{folder}/rows", f"{folder}/checkpoint", mode)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
