@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from skein.operators import joins, ops, segments
 from skein.plans.base import Tables, query
 from skein.session import scratch
 from skein.sources import increments
-from skein.streaming import monitor
+from skein.streaming import flags, monitor
 
 #: The moment that queries take for now (inside the events' month).
 NOW = "2024-01-20 00:00:00"
@@ -188,3 +190,24 @@ def progress_upsert(t: Tables) -> DataFrame:
     increments.follow(log, sink, f"{at}/again", parsed)  # as after a crash: the same batches, a checkpoint that knows of none
     counts = sink.lines(t.spark, "job long, ts timestamp, event_id long, line string").groupBy("job").agg(F.count("*").alias("lines"))
     return sink.rows(t.spark).join(counts, "job").select("job", "event_id", "epoch", "step", F.col("losses")["F0"].alias("f0"), "lines")
+
+
+#: What events stand for where they set and ask for flags; a ping holds for twelve hours.
+FLAG_EVENTS = {"click": flags.PING, "view": flags.ASK, "purchase": flags.REQUEST, "error": flags.TAKE}
+HOLDS = 12 * 3600.0
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT *, max(CASE WHEN event_type = 'click' THEN ts END) OVER w AS ping, max(CASE WHEN event_type = 'purchase' THEN k END) OVER w AS asked,
+  max(CASE WHEN event_type = 'error' THEN k END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS took
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id AS id, CASE WHEN event_type = 'view' THEN 'ask' ELSE 'take' END AS what,
+  CASE WHEN event_type = 'view' THEN coalesce(ts < ping + INTERVAL 12 HOUR, FALSE) ELSE coalesce(asked > coalesce(took, 0), FALSE) END AS wanted
+FROM s WHERE event_type IN ('view', 'error')""")
+def stream_flags(t: Tables) -> DataFrame:
+    """Who asks learns whether the last ping still holds; who takes gets a request that nobody took before."""
+    what = reduce(lambda c, x: c.when(F.col("event_type") == x[0], x[1]), FLAG_EVENTS.items(), F.when(F.lit(False), ""))
+    events = monitor.read_events(t.spark, t.sf_dir)
+    with flags.rocks(t.spark):
+        got = monitor.through_files(flags.flags(events, "user_id", what, "event_id", ttl=HOLDS), scratch(t.spark))
+    return got.filter(F.col("what") != flags.EXPIRED)
