@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from skein.operators import align, collate, curate
 from skein.plans.base import Tables, query
+from skein.session import scratch
+from skein.sources import files, hub, media
 
 #: Frames a second, sounds, and how many frames each word takes; a pause of 1 to 3 frames follows, by the word's length.
 RATE, SOUNDS, SPOKEN = 4, 31, 2
@@ -86,3 +88,34 @@ def padded_batches(t: Tables) -> DataFrame:
         F.col("batch").cast("long").alias("batch"), "rows", F.col("ids_width").alias("width"), total("ids").alias("total"), F.md5(joined("ids")).alias("cells"), F.md5(joined("ids_lengths")).alias("lengths"),
         total("ids_mask").alias("own"), joined("keys").alias("keys"), total("n_chars").alias("chars"),
     )
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN doc_id % 10 = 3 THEN 'test' ELSE 'train' END AS split FROM documents")
+def hub_split(t: Tables) -> DataFrame:
+    """Documents laid out as a dataset of two splits, each read by its name."""
+    at = scratch(t.spark)
+    split = F.when(F.col("doc_id") % 10 == 3, "test").otherwise("train")
+    for name in ("test", "train"):
+        t.documents.filter(split == name).write.parquet(f"{at}/corpus/all/{name}")
+    read = lambda name: hub.load(t.spark, at, "corpus", name, "all", columns=["doc_id", "n_chars"], required=["text"]).withColumn("split", F.lit(name))
+    return read("test").unionByName(read("train"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS name, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings")
+def vector_files(t: Tables) -> DataFrame:
+    """A npy file for each vector, read back."""
+    at = f"{scratch(t.spark)}/vectors"
+    media.write_vectors(t.embeddings, at, "vec_id", "embedding")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return media.read_vectors(t.spark, at).select("name", F.size("values").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS name, count(*) * len(any_value(text)) / 8000.0::DOUBLE AS seconds, CAST(128000 AS BIGINT) AS bits_per_second FROM conversations GROUP BY conv_id, turn")
+def sound_probe(t: Tables) -> DataFrame:
+    """A wave for each turn, a sample for each letter; its length by its header."""
+    at = f"{scratch(t.spark)}/sounds"
+    sample = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 64).cast("double") / 64)
+    turns = t.conversations.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("name"), F.when(F.length("text") > 0, sample).otherwise(F.array().cast("array<double>")).alias("samples"))
+    media.write_vectors(turns, at, "name", "samples", kind="wav", rate=8000)
+    got = media.probe(files.listing(t.spark, at, (".wav",)))
+    return got.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("name"), "seconds", "bits_per_second")
