@@ -5,7 +5,8 @@ summed by path and divided by its blocks; both ratios are smoothed over the bloc
 again by path; paths above a share of the best are content. The smallest element that holds all blocks of the content
 paths is the article: its other blocks (headings, short lists) belong to it unless they are mostly links.
 
-Elements that never hold an article (menus, footers, forms, scripts) are left out before anything is counted. A class, id
+Elements that never hold an article (menus, footers, scripts, controls) are left out before anything is counted, and so are
+forms, but for one that holds an article or main element or half of the page's text: that is a plain division. A class, id
 or role that names adverts, notices, comments and the like is a weight in the fused score (ODD_NAME for each such element
 around a block), so a page whose article stands in such an element keeps it; beside the article it keeps blocks out.
 
@@ -202,9 +203,32 @@ def _whole_tags(html: str) -> str:
     return html[: cut.start()] if cut else html
 
 
+_FORM = re.compile(r"<form(?=[\s>/])(.*?)(</form\s*>|\Z)", re.IGNORECASE | re.DOTALL)
+_MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.IGNORECASE | re.DOTALL)
+
+
+def _page_forms(html: str) -> str:
+    """html with forms that hold the page itself as plain divisions: an article, a main element or half of all text."""
+
+    def size(part: str) -> int:
+        return len(_MARKUP.sub("", part))
+
+    whole = None
+
+    def one(m: re.Match) -> str:
+        nonlocal whole
+        if not re.search(r"<(article|main)\b", m[1], re.IGNORECASE):
+            whole = size(html) if whole is None else whole
+            if 2 * size(m[1]) < whole:
+                return m[0]
+        return f"<div{m[1]}{'</div>' if m[2] else ''}"
+
+    return _FORM.sub(one, html)
+
+
 def main_text(html: str | None) -> str:
     reader = _Reader()
-    reader.feed(_whole_tags(html or ""))
+    reader.feed(_page_forms(_whole_tags(html or "")))
     reader.finish()
     blocks = [(" ".join("".join(parts).split()), at, links) for parts, at, links in reader.blocks]
     in_header = [False] * len(reader.parent)

@@ -42,10 +42,11 @@ listed AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY
 SELECT t.doc_id, COALESCE(n_email, 0) AS n_email, COALESCE(n_ip, 0) AS n_ip, COALESCE(n_card, 0) AS n_card, COALESCE(n_phone, 0) AS n_phone, sha256(COALESCE(base, '')) AS base_sha256
 FROM texts t LEFT JOIN listed USING (doc_id)"""
 
-#: The given pages hold their article in an article element, in h1 and p; SQL reads that, the query doesn't know it.
+#: The given pages hold their article in an article element, in h1 and p; SQL reads that, the query doesn't know it. A br is
+#: white space inside a block.
 HTML = r"""
 WITH bodies AS (SELECT page_id, url, COALESCE(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS body FROM pages),
-blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:h1|p)>|<br>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS b FROM bodies),
+blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:h1|p)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS b FROM bodies),
 plain AS (SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(
   replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&eacute;', 'é'), '&mdash;', '—'), '&amp;', '&'),
   '[\s\x{00A0}]+', ' ', 'g'))), lambda x: x <> '') AS b FROM blocks)

@@ -23,6 +23,22 @@ def test_made_page():
     assert html.main_text(PAGE).split("\n") == ["Head­line & more", "First paragraph, with bold and a link; it goes on for a while. And on.", "Second one <here>. Short.", "point one", "point two", "Quoted words, at last."]
 
 
+def test_forms():
+    """A form around the page is no more than a division; forms in the page, and their controls, are no text of it."""
+    body = "<h1>T</h1><p>" + "Long text, of many words, here. " * 9 + "</p>"
+    want = "T\n" + ("Long text, of many words, here. " * 9).strip()
+    login = '<form action="/login"><p>User, name, please.</p><input name=u><button>Go</button><label>Keep me, please.</label></form>'
+    search = "<form role=search><div>Search all, of it.</div><select><option>one</option></select></form>"
+    assert html.main_text(f'<body><nav>Menu</nav><form id="aspnetForm"><input type=hidden><article>{body}</article><button>Go</button></form></body>') == want
+    assert html.main_text(f'<body><form id="all" ACTION="x"><div class=x>{body}</div></form><footer>Foot, er.</footer></body>') == want
+    assert html.main_text(f"<body><form id=all><main>{body}</main>") == want
+    assert html.main_text(f"<body>{search}<article>{body}{login}</article>{login}</body>") == want
+    assert html.main_text(f"<body>{login}</body>") == "User, name, please.\nKeep me, please."
+    many = f"<body><article>{body}" + login * 3000 + "</article>"
+    start = time.time()
+    assert html.main_text(many) == want and time.time() - start < 5
+
+
 def test_without_article_element():
     page = "<body><div class='menu'><p>Go, home.</p></div><div class=x><p>" + "Long text, of many words. " * 9 + "</p><p>Short.</p><h2>Next</h2></div><div><a href=1>one</a> <a href=2>two</a></div></body>"
     assert html.main_text(page) == ("Long text, of many words. " * 9).strip() + "\nShort.\nNext"
