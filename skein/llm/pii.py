@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words move the score. DataFrame functions only.
 
 Positions are code points, ends exclusive. The base kinds (email, ip, card, phone) follow fixed patterns and tests, and
-every one that passes is kept; the further kinds (iban, secret) are kept from a score of KEEP on. A failing match is
-dropped without another try inside it.
+every one that passes is kept; the further kinds (iban, secret) are kept from a score of KEEP on. A secret is a key of a known
+form or whatever follows its name, to its end; a run of twenty or more mixed signs with neither is one only if a context word
+stands before it. A failing match is dropped without another try inside it.
 
 Defined results: a null text counts as empty and has no spans; of spans that start together the kind listed first comes
 first; rows with null or repeated keys are kept, each with its own result; an empty table gives no rows; all other columns
@@ -29,7 +30,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,64}+\"?)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+\"?|[A-Za-z0-9+/_-]{20,}+(?!\x20?[=:]))",
 }
 #: What a match must hold to be looked for at all (cheap, and true of every match).
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
@@ -39,10 +40,14 @@ CONTEXT = {
     "phone": r"call|phone|tel|mobile|fax", "iban": r"iban|bank|account|konto|compte|cuenta", "secret": r"key|login|secret|token|password",
 }
 REACH = 40
-#: Without and with the confirming test; a context word adds LIFT.
+#: Of confirmed matches; a context word adds LIFT. A run of signs that nothing names a secret is a weak proposal: context alone
+#: brings it to KEEP.
 SCORE = {"email": 0.8, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "secret": 0.6}
+WEAK = 0.45
 LIFT = 0.1
 KEEP = 0.5
+#: What tells a named secret from a mere run of signs.
+NAMED = r"^AKIA[A-Z0-9]{16}$|[=:]"
 #: Code points in a piece of text that a masked span is cut from.
 _PIECE = 1024
 
@@ -77,10 +82,15 @@ CONFIRM: dict[str, Callable[[Column], Column]] = {
     "card": lambda m: luhn(digits(m)),
     "phone": lambda m: F.length(digits(m)).between(10, 15),
     "iban": mod97,
-    "secret": lambda m: m.rlike("[0-9]"),
+    "secret": lambda m: m.rlike("[0-9]") & (m.rlike(NAMED) | (m.rlike("[A-Z]") & m.rlike("[a-z]"))),
 }
 
 
+def base_score(kind: str, match: Column) -> Column:
+    """A confirmed match's score without its context."""
+    return F.when(match.rlike(NAMED), SCORE[kind]).otherwise(WEAK) if kind == "secret" else F.lit(SCORE[kind])
+
+
 _TYPE = "array<struct<start:bigint,rank:int,end:bigint,score:double>>"
 
 
@@ -99,7 +109,7 @@ def _spans(kind: str, text: Column, hits: Column) -> Column:
         each = F.zip_with(F.zip_with(hits, lead, lambda h, x: F.struct(h.alias("match"), x["context"].alias("context"))), ends, lambda m, end: F.struct(m["match"].alias("match"), m["context"].alias("context"), end.alias("end")))
         sure = F.filter(each, lambda s: CONFIRM[kind](s["match"]))
         lift = lambda s: F.when(F.lower(s["context"]).rlike(CONTEXT[kind]), LIFT).otherwise(0.0)
-        return F.transform(sure, lambda s: F.struct((s["end"] - F.length(s["match"])).alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), (F.lit(SCORE[kind]) + lift(s)).alias("score")))
+        return F.transform(sure, lambda s: F.struct((s["end"] - F.length(s["match"])).alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), (base_score(kind, s["match"]) + lift(s)).alias("score")))
 
     out = let(F.split(text, PATTERNS[kind], -1), found).cast(_TYPE)
     return out if kind in BASE else F.filter(out, lambda s: s["score"] >= KEEP)
@@ -128,6 +138,11 @@ def listing(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
+def scores(findings: Column) -> Column:
+    """The spans' scores, comma-joined."""
+    return F.array_join(F.transform(findings, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def mask(text: Column, findings: Column) -> Column:
     """text with each span (overlapping ones as one, named after the first) replaced by its kind in square brackets.
 
@@ -164,9 +179,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the base kinds, a digest of the base listing, the listing of all spans."""
+    """Per document: counts of the base kinds, a digest of the base listing, the listing of all spans, and their scores."""
     found = find_pii(docs.select("doc_id", "text")).select("doc_id", "findings")
     of = lambda i: F.filter("findings", lambda s: s["rank"] == i)
     counts = [F.size(of(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     base = F.filter("findings", lambda s: s["rank"] < len(BASE))
-    return found.select("doc_id", *counts, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("findings")).alias("spans"), scores(F.col("findings")).alias("scores"))

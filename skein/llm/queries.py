@@ -69,7 +69,7 @@ def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2_pii says of the base kinds."""
-    return op2_pii(spark, sf_dir).drop("spans")
+    return op2_pii(spark, sf_dir).drop("spans", "scores")
 
 
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,24 @@ def test_context_lifts_the_score(spark):
     assert got[0]["findings"][0]["score"] > got[1]["findings"][0]["score"]
 
 
+def test_context_decides(spark):
+    """Two texts that differ by a context word, which alone makes the run of signs a secret."""
+    key = "Zx81kQpL0vN7eR2tYw5u"
+    texts = [f"the key is {key}.", f"the bee is {key}.", f"the key is {key.lower()}.", f"the key is {key[:19]}.", f"the_long_named_password_of_ours_9A={key}", f"key {key}{key}/{key} end"]
+    got = rows(pii.report(docs(spark, texts)))
+    assert (got[0]["spans"], got[0]["scores"]) == ("secret:11:31", "0.55")
+    assert [got[i]["spans"] for i in (1, 2, 3)] == ["", "", ""] and got[5]["spans"] == "secret:4:65"
+    assert got[4]["spans"] == "" or got[4]["spans"].endswith(f":{len(texts[4])}")
+    assert rows(pii.redact(docs(spark, texts)))[0]["text"] == "the key is [SECRET]."
+
+
+def test_no_tail_of_a_secret_stays(spark):
+    for n in (8, 64, 65, 120, 10_000):
+        secret = ("a1b2" * n)[:n]
+        got = rows(pii.redact(docs(spark, [f"x password={secret} y", f'token: "{secret}", z', f"x password={secret}"])))
+        assert [got[i]["text"] for i in range(3)] == ["x [SECRET] y", "[SECRET], z", "x [SECRET]"], n
+
+
 def masked(text):
     """What redact gives, span by span."""
     found = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(PLAIN.items()) for m in re.finditer(p, text) if passes(k, m.group())]
