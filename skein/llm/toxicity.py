@@ -1,6 +1,6 @@
 """Toxicity: disguised words are decoded as through a noisy channel, then the restored text is scored.
 
-A suspicious stretch (letters mixed with look-alike digits and signs, single letters with separators between them, a
+A suspicious stretch (letters mixed with look-alike digits and signs, single letters with runs of separators between them, a
 letter twice or more) is a lattice: each sign may stand for itself, for a look-alike letter, or for nothing
 (separators, repeats). Viterbi's algorithm picks the likeliest letters under a trigram model of characters counted over
 all words of all documents. A stretch with look-alikes stays undecoded where signs drawn evenly explain it better (keys,
@@ -43,7 +43,7 @@ LOOK = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¢": "c", "(": "c", "*": "",
 }
-SEPARATORS = " .-_*~'"
+SEPARATORS = " .-_*~',/\t\n\r"
 #: Look-alikes that are plain punctuation before and after a word.
 BEFORE, AFTER = "(*", "!(*"
 ITSELF, AS_LETTER, DROPPED, REPEAT, TWICE, UNREADABLE = (math.log(p) for p in (0.9, 0.3, 0.01, 0.5, 0.01, 1e-6))
@@ -51,8 +51,10 @@ ITSELF, AS_LETTER, DROPPED, REPEAT, TWICE, UNREADABLE = (math.log(p) for p in (0
 AS_IS = math.log(1 / 256)
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = "0-9@$!|+€£¢(*"
-#: s p a c e d letters, always by the same separator.
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])([ .\-_*~']{1,2})(?:[^\W_]|[@$!|+])(?:\1(?:[^\W_]|[@$!|+]))+(?![^\W_])")
+_SIGN, _GAP = r"(?:[^\W_]|[@$!|+])", f"[{re.escape(SEPARATORS)}]++"
+#: s p a c e d letters, always by the same run of separators; and by any. A text may hold both: a i.d.i.o.t
+_SPACED = re.compile(rf"(?<![^\W_]){_SIGN}({_GAP}){_SIGN}(?:\1{_SIGN})+(?![^\W_])")
+_LOOSE = re.compile(rf"(?<![^\W_]){_SIGN}(?:{_GAP}{_SIGN}){{2,}}(?![^\W_])")
 #: A stretch of letters and look-alikes, both of them (letters are looked for later).
 _MIXED = re.compile(rf"(?<![\w{_LEET}])[^\W\d]*+[{_LEET}][\w{_LEET}]*+")
 _DOUBLE = re.compile(r"(.)\1")
@@ -175,10 +177,9 @@ class Restorer(dict):
         """The distinct words of a text, with those of its restored stretches; for repeated letters see variants."""
         low = text.lower()
         out = set(_WORD.findall(low))
-        for m in _SPACED.finditer(low):
-            out.update(self[m.group()])
-        for m in _MIXED.finditer(low):
-            out.update(self[m.group()])
+        for pattern in (_SPACED, _LOOSE, _MIXED):
+            for m in pattern.finditer(low):
+                out.update(self[m.group()])
         return out
 
 

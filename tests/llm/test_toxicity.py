@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import pytest
@@ -51,6 +52,19 @@ def test_stretches_in_texts(spark, model):
     assert got[0]["score"] >= 0.3 and got[1]["score"] >= 0.3 and got[2]["score"] < 0.3
 
 
+def test_any_run_of_separators(spark, model):
+    """Letters apart by runs of any length, the same or not, on one line or several."""
+    words = tx.Restorer(model.letters).words
+    spellings = ["i d i o t", "i__d__i__o__t", "1 d 1 0 t", "i   d   i   o   t", "i---d---i---o---t", "i.d i o.t", "i/d/i/o/t", "i,d,i,o,t", "i\nd\ni\no\nt", "i" + " " * 5000 + "d - i / o\t.t", "a i.d.i.o.t"]
+    for x in spellings:
+        assert "idiot" in words(f"you are {x} now"), x
+    got = rows(tx.score(docs(spark, [f"you are {x} now" for x in spellings] + ["1. one, 2. two; a, b and c", "e. g. this, i. e. that", "U.S.A. and J. R. R. Tolkien"]), model))
+    assert [got[i]["score"] >= 0.3 for i in sorted(got)] == [True] * len(spellings) + [False] * 3
+    start = time.time()
+    assert words("a " * 20_000 + "!") and words("a" + " -" * 50_000 + "b") == {"a", "b"}
+    assert time.time() - start < 20
+
+
 def test_leaning_features(spark):
     """Against the rule in plain Python."""
     rng, rows_ = random.Random(2), [("", 40, 160)]
