@@ -21,7 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -177,9 +177,12 @@ class Restorer(dict):
         """The distinct words of a text, with those of its restored stretches; for repeated letters see variants."""
         low = text.lower()
         out = set(_WORD.findall(low))
-        for pattern in (_SPACED, _LOOSE, _MIXED):
-            for m in pattern.finditer(low):
-                out.update(self[m.group()])
+        for m in _LOOSE.finditer(low):
+            out.update(self[m.group()])
+            for same in _SPACED.finditer(m.group()):  # what the one finds lies in what the other finds
+                out.update(self[same.group()])
+        for m in _MIXED.finditer(low):
+            out.update(self[m.group()])
         return out
 
 
@@ -189,6 +192,12 @@ class Model:
     weights: dict[str, float]
     logistic: tuple[float, float, float]  # constant, greatest evidence, log of the sum
 
+    @cached_property
+    def readers(self) -> tuple[Restorer, Evidence]:
+        """One of each for all tasks of a worker, so a word is decoded once in each worker (results don't depend on it)."""
+        restorer = Restorer(self.letters)
+        return restorer, Evidence(self.weights, restorer)
+
     def score(self, top: float, total: float) -> float:
         a, b, c = self.logistic
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * top + c * math.log1p(total)))))
@@ -299,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_TRAIN)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most MAX_TRAIN rows of two integers
     letters = language(docs)
-    sent = spark.sparkContext.broadcast(letters)
+    sent = spark.sparkContext.broadcast(Model(letters, {}, (0.0, 0.0, 0.0)))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(sent.value)
+        restorer, _ = sent.value.readers
         for b in batches:
             pos, neg = Counter(), Counter()
             docs_of = [0, 0]
@@ -327,12 +336,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
     # a disguise hides such a word more often than any other, so the decoder expects them: a fiftieth of all words
     toxic_words = [f[1:] for f in weights if f[0] == "="]
     letters = letters.plus({w: max(1, letters.total // (50 * len(toxic_words))) for w in toxic_words})
-    sent = spark.sparkContext.broadcast(letters)
-    bound = spark.sparkContext.broadcast(weights)
+    bound = spark.sparkContext.broadcast(Model(letters, weights, (0.0, 0.0, 0.0)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(sent.value)
-        evidence = Evidence(bound.value, restorer)
+        restorer, evidence = bound.value.readers
         for b in batches:
             got = [measure(t, restorer, evidence) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([t for t, _ in got], pa.float64()), pa.array([s for _, s in got], pa.float64())], ["y", "top", "total"])
@@ -350,8 +357,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        restorer = Restorer(model.letters)
-        evidence = Evidence(model.weights, restorer)
+        restorer, evidence = model.readers
         for b in batches:
             got = [model.score(*measure(t, restorer, evidence)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
