@@ -4,8 +4,8 @@ Shallow trees on resampled rows give conjunctive rules (one for each path from t
 penalty keeps few of them; the rest is a sum of weighted conditions that Spark evaluates beside the statistics, so
 scoring is one narrow pass over the texts.
 
-The fit reads at most MAX_TRAIN labelled rows (those with the least hash of the key, so the same at every run); this
-bound is the only sample here. Defined results: a null text counts as empty and has a score like any other; labels that
+The fit reads at most MAX_TRAIN labelled rows (those with the least hash of the key, so the same at every run), of which
+each tree draws at most TREE_ROWS. Defined results: a null text counts as empty and has a score like any other; labels that
 are null, or belong to no document, are not learned from; without labels, or with one class only, every score is that
 class's share (1.0 without any label); documents with the same statistics have the same score; repeated rows keep their
 own result; an empty table gives no rows; further columns pass through, whatever their names.
@@ -24,6 +24,7 @@ from skein.llm.common import unused
 
 #: Labelled rows that a fit reads at most.
 MAX_TRAIN = 20_000
+TREE_ROWS = 8_000
 N_TREES = 40
 DEPTH = 3
 BINS = 32
@@ -122,7 +123,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str] = NAMES, seed: int
     codes = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     rng, paths = np.random.default_rng(seed), set()
     for _ in range(N_TREES):
-        rows = rng.choice(len(y), min(len(y), 8000), replace=True)
+        rows = rng.choice(len(y), min(len(y), TREE_ROWS), replace=True)
         _grow(codes, y, rows, rng.choice(x.shape[1], max(2, x.shape[1] // 2), replace=False), (), paths, DEPTH)
     paths = sorted(p for p in paths if all(b < len(cuts[f]) for f, _, b in p))
     if not paths:
