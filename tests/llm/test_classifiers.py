@@ -1,4 +1,5 @@
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -49,12 +50,12 @@ def plain_backoff(model, text):
     """Languages' scores, word by word from the definition."""
     total = dict.fromkeys(model.languages, 0.0)
     for w in re.findall(r"[^\W\d_]+", text.lower()):
-        if w in model.words:
-            got = [model.word_scores[model.words[w]]]
+        if w in model.words.names:
+            got = [model.words.row(w, len(total))]
         else:
             for n in range(langid.LONGEST, 0, -1):
                 pieces = [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)] if n <= len(w) + 2 else []
-                got = [model.gram_scores[model.grams[g]] for g in pieces if g in model.grams]
+                got = [model.grams.row(g, len(total)) for g in pieces if g in model.grams.names]
                 if got:
                     break
         for k, lang in enumerate(model.languages):
@@ -75,15 +76,18 @@ def test_language_equals_plain_backoff(spark):
 
 def test_model_counts():
     """Log frequencies of words and n-grams from plain counts."""
-    m = langid.build([("a", "xy", 3), ("a", "z", 1), ("b", "xy", 1)])
-    assert m.languages == ["a", "b"] and set(m.words) == {"xy", "z"}
-    assert math.isclose(m.word_scores[m.words["xy"]][0], math.log(3.5 / 5.5), rel_tol=1e-5) and math.isclose(m.word_scores[m.words["z"]][1], math.log(0.5 / 2.5), rel_tol=1e-5)
-    assert set(m.grams) == {g for w in ("^xy$", "^z$") for n in range(1, 6) for g in (w[i : i + n] for i in range(len(w) - n + 1))}
+    rows = [("a", "xy", 3), ("a", "z", 1), ("b", "xy", 1)]
+    m = langid.build(rows, [(*k, n) for k, n in langid.pieces(rows).items()])
+    assert m.languages == ["a", "b"] and set(m.words.names) == {"xy", "z"}
+    assert math.isclose(m.words.row("xy", 2)[0], math.log(3.5 / 5.5), rel_tol=1e-5) and math.isclose(m.words.row("z", 2)[1], math.log(0.5 / 2.5), rel_tol=1e-5)
+    assert set(m.grams.names) == {g for w in ("^xy$", "^z$") for n in range(1, 6) for g in (w[i : i + n] for i in range(len(w) - n + 1))}
+    # letters and signs: 3 * 4 + 3 of a, 4 of b, five of them different
+    one = sum(1 for g in m.grams.names if len(g) == 1)
+    assert one == 5 and math.isclose(m.grams.row("^", 2)[0], math.log(4.5 / (15 + 0.5 * (len(m.grams.names) + 1))), rel_tol=1e-5)
 
 
-def test_rare_languages_are_learned(spark, monkeypatch):
+def test_rare_languages_are_learned(spark):
     """Whatever the others have, a language with one document can be predicted."""
-    monkeypatch.setattr(langid, "WORDS", 50)
     texts = [(3 * k, " ".join(f"wort{k}x{i}" for i in range(200)), "de", "s", 1) for k in range(60)]
     texts += [(1000, "qala balaq suvuq yolda", "crh", "s", 1)]
     d = spark.createDataFrame([t for t in texts if zlib.crc32(str(t[0]).encode()) % 3 != 1], docs(spark, []).schema)
@@ -92,6 +96,44 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert m.languages == ["crh", "de"] and Counter(rows(langid.predict(docs(spark, ["balaq yolda", "wort1x1 wort2x2"]), m))[k]["lang_pred"] for k in (0, 1)) == {"crh": 1, "de": 1}
 
 
+def test_every_word_of_the_sample_is_learned(spark):
+    """However many words a language has, and however texts are composed."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**i % 26] for i in range(5))
+    texts = [" ".join(word(1000 * d + k) for k in range(1000)) for d in range(90)]
+    texts = [f"{t} Caf\u00e9 cafe\u0301" for t in texts]
+    d = docs(spark, texts)
+    learned = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 3 != 1]
+    m = langid.fit(d)
+    want = {w for t in learned for w in langid.words_of(t)}
+    assert set(m.words.names) == want and "caf\u00e9" in want and "cafe" not in want
+
+
+def test_many_languages_make_a_sparse_model():
+    """What workers get grows with the words seen, not with languages times words."""
+    def model(languages):
+        rows = [(f"l{x:03}", f"{chr(97 + x % 26)}{chr(97 + x // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}", 1 + k) for x in range(languages) for k in range(300)]
+        return langid.build(rows, [(*k, n) for k, n in langid.pieces(rows).items()])
+
+    few, many = model(20), model(100)
+    size = lambda m: len(pickle.dumps(m))
+    assert len(many.words.language) == 100 * 300 and len(many.words.names) == 100 * 300
+    assert size(many) < 5.5 * size(few)
+    rows_ = langid._Rows(many)
+    got = list(langid.predict_texts(rows_, [f"{chr(97 + x % 26)}{chr(97 + x // 26)}ab" for x in range(100)]))
+    assert [g for g, _ in got] == many.languages
+
+
+def test_cache_and_blocks_change_nothing(spark, monkeypatch):
+    d = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = [r.text for r in d.select("text").collect()]
+    m = langid.fit(d.limit(40))
+    want = list(langid.predict_texts(langid._Rows(m), texts))
+    monkeypatch.setattr(langid, "CACHE", 3)
+    monkeypatch.setattr(langid, "TOGETHER", 50)
+    assert list(langid.predict_texts(langid._Rows(m), texts)) == want
+
+
 def plain_statistics(text):
     t = text or ""
     w, lines = t.split(), [x for x in t.split("\n") if x]
