@@ -182,17 +182,32 @@ def sentences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(X.split_sentences(X.clean(F.col("text")))).alias("pos", "sentence"))
 
 
-@query()
+def _spelled(sql: str) -> str:
+    """SQL for the skeleton's replacements, in order."""
+    for a, b in X.CYRILLIC_SKELETON + X.LATIN_SKELETON:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+@query(f"""WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_spelled("lower(nfc_normalize(text))")}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS skeleton FROM documents),
+s AS (SELECT *, substr(regexp_replace(replace(skeleton, ' ', '_'), '^_+|_+$', '', 'g'), 1, 60) AS cut FROM k)
+SELECT doc_id, skeleton, CASE WHEN cut = '' THEN 'item' ELSE cut END AS slug FROM s""")
 def skeletons(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.skeleton(F.col("text")).alias("skeleton"), X.slug(F.col("text")).alias("slug"))
 
 
-@query()
+@query("""WITH u AS (SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)/?$', 1), '\\[[A-Za-z0-9_-]{11}\\]', '', 'g') AS s FROM pages),
+p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(s, '^\\d{6,8}\\s*-\\s*', ''), '^\\d+_', ''), '([^./])\\.[^./]*$', '\\1') AS s FROM u)
+SELECT page_id, trim(regexp_replace(regexp_replace(lower(s), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM p""")
 def norm_titles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.norm_title(F.regexp_extract("url", r"([^/]*)/?$", 1)).alias("title"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS word, generate_subscripts(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) AS i FROM documents),
+r AS (SELECT doc_id, i, regexp_replace(strip_accents(replace(lower(word), 'ß', 'ss')), '[^a-z'']', '', 'g') AS token FROM w),
+s AS (SELECT doc_id, string_agg('<star> ' || trim(regexp_replace(token, '(.)', '\\1 ', 'g')), ' ' ORDER BY i) AS starred FROM r GROUP BY doc_id)
+SELECT doc_id, CASE WHEN trim(text) = '' THEN '' WHEN text IS NOT NULL THEN starred END AS starred FROM documents LEFT JOIN s USING (doc_id)""")
 def romanized(t: Tables) -> DataFrame:
+    """Every word in plain letters, spaced, after a star; its SQL knows Latin letters under marks and the sharp s."""
     words = X.words(F.col("text"))
     return t.documents.select("doc_id", F.array_join(X.alignment_inputs(words)["tokens_starred"], " ").alias("starred"))

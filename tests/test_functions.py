@@ -6,8 +6,8 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import letters, times
 from skein.functions import text as X
-from skein.functions import times
 from skein.functions import vectors as V
 
 
@@ -58,6 +58,27 @@ def test_slugs_ids_fields(spark):
     assert one(spark, 'a "b"|c', X.csv_field) == '"a ""b""|c"' and one(spark, "plain", X.csv_field) == "plain" and one(spark, "a|b\n c", X.pipe_field) == "a/b c"
     assert one(spark, "<a & 'b'>", X.html_escape) == "&lt;a &amp; &#x27;b&#x27;&gt;" and one(spark, "123_some_name", X.file_title) == "some name"
     assert one(spark, "Ñoq'ay-1", X.romanize) == "noq'ay"
+    assert one(spark, "Щука — ёж 2!", X.slugify) == "shchuka___iozh_2" and one(spark, "--", X.slugify) == ""
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [("Къырым", "kyrym"), ("ШЧ", "shch"), ("ёлка", "iolka"), ("е\u0308лка", "iolka"), ("май", "mai"), ("день", "den'"), ("Їжак", "yizhak"), ("қыз", "kyz"),
+     ("Θάλασσα", "thalassa"), ("Ψυχή", "psukhe"), ("Straße", "strasse"), ("Ærø", "aero"), ("Łódź", "lodz"), ("İzmir", "izmir"), ("ﬁn", "fin"), ("Ｆｗ", "fw"),
+     ("e\u0301t\u0323", "et"), ("Mən", "men"), ("語—1", ""), ("", ""), (None, None)],
+)
+def test_romanized_letters(spark, text, want):
+    assert one(spark, text, X.romanize) == want
+
+
+def test_no_letter_of_the_scripts_vanishes(spark):
+    """Every letter of Latin, Cyrillic and Greek has letters of its own; only the hard sign has no sound."""
+    every = [chr(k) for k in range(0x80, 0x110000) if unicodedata.category(chr(k)) in ("Ll", "Lu", "Lt", "Lo") and unicodedata.name(chr(k), "").startswith(("LATIN", "CYRILLIC", "GREEK"))]
+    got = spark.createDataFrame([(x,) for x in every], "x string").select("x", X.romanize(F.col("x")).alias("r"), letters.transliterate(F.col("x")).alias("t")).collect()
+    assert len(every) > 1500 and {r.x for r in got if not r.r} == set("Ъъ\u1c86") and all(r.t.isascii() for r in got)
+    # plain letters under marks agree with their decompositions
+    marked = [r for r in got if (d := unicodedata.normalize("NFD", r.x)) != r.x and d[0].isascii()]
+    assert len(marked) > 400 and all(r.t == unicodedata.normalize("NFD", r.x)[0].lower() for r in marked)
 
 
 def test_alignment_inputs_keep_slots(spark):
