@@ -145,7 +145,11 @@ def job_event_counts(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS id, list(CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'done' WHEN 'logout' THEN 'cancel' ELSE 'failed' END ORDER BY ts, event_id) AS seq FROM events GROUP BY 1)
+SELECT id, list_reduce(list_prepend('queued', seq), lambda s, e: CASE
+WHEN s IN ('done', 'failed', 'canceled') THEN s
+WHEN s = 'queued' THEN CASE e WHEN 'claim' THEN 'running' WHEN 'cancel' THEN 'canceled' ELSE s END
+WHEN e = 'cancel' THEN 'canceling' WHEN e NOT IN ('done', 'failed') THEN s WHEN s = 'canceling' THEN 'canceled' ELSE e END) AS status FROM e""")
 def job_states(t: Tables) -> DataFrame:
     """The state machine folded over each user's events."""
     kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "logout", "cancel").otherwise("failed")

@@ -257,7 +257,13 @@ def rotate_checkpoints(t: Tables) -> DataFrame:
     return curate.rotate(t.orders.select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 5)
 
 
-@query()
+@query("""WITH w AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS whole FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, turn, whole, length(whole) AS n, CAST(length(text) AS DOUBLE) AS secs FROM conversations JOIN w USING (conv_id)),
+c AS (SELECT *, CAST(floor(n * sum(secs) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) / nullif(sum(secs) OVER (PARTITION BY conv_id), 0)) AS BIGINT) AS mark FROM p),
+a AS (SELECT *, greatest(mark - 400, 0) AS low, substr(whole, greatest(mark - 400, 0) + 1, mark + 400 - greatest(mark - 400, 0)) AS around FROM c),
+b AS (SELECT *, length(around) - strpos(reverse(around), chr(10) || chr(10)) - 1 AS place, contains(around, chr(10) || chr(10)) AS found FROM a),
+h AS (SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN n WHEN found AND place > 0 THEN low + place ELSE mark END AS hi FROM b)
+SELECT conv_id, turn, coalesce(lag(hi) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS lo, hi FROM h""")
 def text_bounds(t: Tables) -> DataFrame:
     """Each conversation's whole text cut for its turns by their share of the words."""
     whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("whole"))

@@ -81,10 +81,15 @@ def slice_retention(t: Tables) -> DataFrame:
     return models.retention(t.lineitem, "l_returnflag", F.col("l_discount") < 0.05, "l_quantity").withColumn("retention_pct", F.round("retention_pct", 6))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, len(embedding) AS n, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+f AS (SELECT vec_id, n, i, (CAST(floor(CAST(x AS DOUBLE) * 1e9::DOUBLE) AS BIGINT) % 4294967296 + 4294967296) % 4294967296 AS b FROM v),
+p AS (SELECT a.vec_id, a.n AS na, c.n AS nb, a.i - c.i AS shift, bit_count(xor(a.b, c.b)) AS bits FROM f a JOIN f c ON c.vec_id = a.vec_id + 1),
+s AS (SELECT vec_id, shift, sum(bits) / (count(*) * 32.0::DOUBLE) AS share FROM p
+WHERE abs(shift) <= least(120, least(na, nb) // 2) AND (shift + least(120, least(na, nb) // 2)) % 2 = 0 GROUP BY vec_id, shift HAVING count(*) >= 40)
+SELECT e.vec_id, round(coalesce((SELECT min(share) FROM s WHERE s.vec_id = e.vec_id), 1), 6) AS bit_error FROM embeddings e SEMI JOIN embeddings o ON o.vec_id = e.vec_id + 1""")
 def bit_errors(t: Tables) -> DataFrame:
-    """Fingerprints of 64 values from neighbouring vectors of a label, compared over shifts."""
+    """Fingerprints of 64 values, those of each vector and the next one, compared over shifts."""
     fp = F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 1e9), F.lit(1 << 32)).cast("long"))
-    rows = t.embeddings.select("vec_id", "label", fp.alias("fp"))
+    rows = t.embeddings.select("vec_id", fp.alias("fp"))
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("fp").alias("next"))
     return rows.join(other, "vec_id").select("vec_id", F.round(V.bit_error(F.col("fp"), F.col("next")), 6).alias("bit_error"))
