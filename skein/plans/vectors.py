@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators import models
+from skein.operators import loudness, models
 from skein.plans.base import Tables, query
 
 UNITS = """WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
@@ -93,3 +93,20 @@ def bit_errors(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", fp.alias("fp"))
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("fp").alias("next"))
     return rows.join(other, "vec_id").select("vec_id", F.round(V.bit_error(F.col("fp"), F.col("next")), 6).alias("bit_error"))
+
+
+@query("""WITH v AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+x AS (SELECT label, CAST(x AS DOUBLE) / pow(10.0::DOUBLE, vec_id // 60 % 5) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS place FROM v),
+h AS (SELECT label, place // 40 AS hop, count(*) AS n, sum(x * x) AS squares, max(abs(x)) AS peak FROM x GROUP BY 1, 2),
+b AS (SELECT a.label, a.hop, sum(o.squares) / 160 AS power FROM h a JOIN h o ON o.label = a.label AND o.hop BETWEEN a.hop AND a.hop + 3 GROUP BY a.label, a.hop HAVING sum(o.n) = 160),
+f AS (SELECT * FROM b WHERE -0.691::DOUBLE + 10 * log10(nullif(power, 0)) > -70),
+g AS (SELECT label, power FROM f JOIN (SELECT label, avg(power) AS mean FROM f GROUP BY label) USING (label) WHERE power > mean / 10),
+l AS (SELECT label, -0.691::DOUBLE + 10 * log10(avg(power)) AS loudness, count(*) AS blocks FROM g GROUP BY label)
+SELECT label, round(loudness, 6) AS loudness, coalesce(blocks, 0) AS blocks, round(peak, 6) AS peak FROM (SELECT label, max(peak) AS peak FROM h GROUP BY label) LEFT JOIN l USING (label)""")
+def gated_loudness(t: Tables) -> DataFrame:
+    """The vectors of a label, end to end and some of them softer, as a sound of 400 samples a second; blocks and gates
+    as for recordings, without the weighting, which SQL can't follow."""
+    softer = F.pow(F.lit(10.0), F.floor(F.col("vec_id") / 60) % 5)
+    rows = t.embeddings.select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") / softer).alias("x"))
+    out = loudness.loudness(rows, "label", "vec_id", "x", 400, weigh=False)
+    return out.select("label", F.round("loudness", 6).alias("loudness"), "blocks", F.round("peak", 6).alias("peak"))
