@@ -126,6 +126,8 @@ def test_small_operators(spark):
 def test_intervals(spark):
     df = make(spark, [("f", 0.0, 1.0), ("f", 1.3, 2.0), ("f", 2.5, 3.0), ("g", 0.0, 25.0), ("g", 30.0, 33.0)], "k string, s double, e double")
     assert sorted((r.k, r.s, r.e) for r in segments.merge_close(df, "k", "s", "e", 0.4).collect()) == [("f", 0.0, 2.0), ("f", 2.5, 3.0), ("g", 0.0, 25.0), ("g", 30.0, 33.0)]
+    nested = make(spark, [("f", 0.0, 9.0), ("f", 1.0, 2.0), ("f", 9.2, 10.0), ("f", 11.0, 12.0)], "k string, s double, e double")
+    assert sorted((r.s, r.e, r.parts) for r in segments.merge_close(nested, "k", "s", "e", 0.4).collect()) == [(0.0, 10.0, 3), (11.0, 12.0, 1)]
     got = sorted((r.k, r.chunk_start, r.chunk_end) for r in segments.chunk_intervals(df, "s", "e", 3.5, 10.0).collect())
     assert got == [("g", 0.0, 10.0), ("g", 10.0, 20.0), ("g", 20.0, 25.0)]
 
