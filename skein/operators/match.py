@@ -57,19 +57,97 @@ def total_score(title: Column, author: Column) -> Column:
     return F.lit(0.55) * title + F.lit(0.45) * F.when(author >= AUTHOR, author).otherwise(0.0)
 
 
-def token_hits(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """_q, _p of the distinct tokens asked (_q) and held (_p) where p alone makes a hit of q (STRONG, AUTHOR at the least)."""
-    q, p = F.length("_q"), F.length("_p")
-    inside = (q >= 6) & (F.contains("_p", F.col("_q")) | F.contains("_q", F.col("_p")))
+def letter_marks(c: Column) -> Column:
+    """64 bits of a token: which of 32 classes of letters it has, and which of them twice or more.
+
+    Bits in which two tokens differ are letters that one has more of, so there are at least as many of those; all bits of a
+    part of a token are set in it too.
+    """
+
+    def mark(seen: Column, x: Column) -> Column:
+        once = F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) % 32)
+        return seen.bitwiseOR(F.when(seen.bitwiseAND(once) == 0, once).otherwise(F.shiftleft(once, 32)))
+
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), mark)
+
+
+def near_pairs(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """_q, _p of the tokens asked and held that may hit, and whether one lies inside the other.
+
+    Letters that only one of both has are no match: pairs with too many of them for a hit are left out.
+    """
+    asked, held = asked.withColumn("_qm", letter_marks(F.col("_q"))), held.withColumn("_pm", letter_marks(F.col("_p")))
+    q, p, qm, pm = F.length("_q"), F.length("_p"), F.col("_qm"), F.col("_pm")
+    lacks = lambda x, y: x.bitwiseAND(F.bitwise_not(y)) != 0
+    inside = (q >= 6) & (~lacks(qm, pm) & F.contains("_p", F.col("_q")) | ~lacks(pm, qm) & F.contains("_q", F.col("_p")))
     # what is equal in both is no longer than the shorter
-    near = inside | (200 * F.least(q, p) >= 85 * (q + p))
+    near = (200 * F.least(q, p) >= 85 * (q + p)) & (100 * F.bit_count(qm.bitwiseXOR(pm)) <= 15 * (q + p))
+    if held.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS:
+        held = F.broadcast(held)
+    elif asked.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS:
+        asked = F.broadcast(asked)
+    # dealt out for the pairs to come, which adaptive plans can't tell from the tokens' bytes
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartition(parts, "_q").join(held, inside | near).select("_q", "_p", inside.alias("_inside"))
+
+
+def token_hits(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """_q, _p, _v of the distinct tokens asked (_q) and held (_p) where p alone makes a hit of q (STRONG, AUTHOR at the
+    least); _v is how alike they are."""
 
     def hit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[T.token_hit(x, [y]) >= STRONG for x, y in zip(b["_q"], b["_p"], strict=True)]]
+            b = b.assign(_v=[T.token_hit(x, [y], substring_ok=False) for x, y in zip(b["_q"], b["_p"], strict=True)])
+            yield b.loc[b["_inside"] | (b["_v"] >= STRONG), ["_q", "_p", "_v"]]
+
+    return near_pairs(asked, held).mapInPandas(hit, "_q string, _p string, _v double")
+
+
+def hit_pairs(rec: DataFrame, books: DataFrame, top: int, least: float) -> DataFrame:
+    """The scores of all pairs that can be among a recording's top and beyond least (0 or more), counted from the distinct
+    tokens that hit each other; a pair comes as often as its rows do."""
+    some = rec.groupBy("id", "title_tokens", "author_tokens").agg(F.count("*").alias("_r"))
+    asked = some.withColumn("_q", F.explode(F.array_distinct(F.concat("title_tokens", "author_tokens"))))
+    # books of one path may have other tokens
+    held = books.groupBy("path", "tokens").agg(F.count("*").alias("_b")).withColumn("_k", F.sha2(F.to_json("tokens"), 256))
+    pool = held.select("path", "_k", "_b", F.explode(F.array_distinct("tokens")).alias("_p"))
+    hits = token_hits(asked.select("_q").distinct(), pool.select("_p").distinct()).join(pool, "_p").groupBy("_q", "path", "_k", "_b").agg(F.max("_v").alias("_v"))
+    said = F.size(F.filter("title_tokens", lambda x: x == F.col("_q")))
+    author = F.max(F.when(F.array_contains("author_tokens", F.col("_q")) & (F.col("_v") >= AUTHOR), F.col("_v")))
+    pairs = asked.withColumn("_n", said).join(hits, "_q").groupBy("id", "title_tokens", "author_tokens", "_r", "path", "_k", "_b").agg(F.sum("_n").alias("_n"), author.alias("author_score"))
+    pairs = pairs.withColumn("title_score", F.when(F.size("title_tokens") > 0, F.col("_n") / F.size("title_tokens")).otherwise(0.0))
+    score = total_score(F.col("title_score"), F.coalesce("author_score", F.lit(0.0)))
+    ranked = pairs.withColumn("_s", score).filter(F.col("_s") > least).withColumn("_rank", F.rank().over(Window.partitionBy("id").orderBy(F.desc("_s"), F.desc("title_score")))).filter(F.col("_rank") <= top)
+    # an author that makes no hit adds nothing to the score, but decides between equal ones
+    unsure = F.col("author_score").isNull() & (F.size("author_tokens") > 0)
+    of = held.select(F.col("path").alias("_path"), F.col("_k").alias("_key"), "tokens")
+    ranked = ranked.join(of, F.col("path").eqNullSafe(F.col("_path")) & F.col("_k").eqNullSafe(F.col("_key")) & unsure, "left")
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            a = [
+                max((T.token_hit(x, list(pool), substring_ok=False) for x in author), default=0.0) if pool is not None else known
+                for known, author, pool in zip(p["author_score"].fillna(0.0), p["author_tokens"], p["tokens"], strict=True)
+            ]
+            yield pd.DataFrame({"id": p["id"], "n_title": p["title_tokens"].map(len), "path": p["path"], "title_score": p["title_score"], "author_score": a, "_copies": p["_r"] * p["_b"]})
+
+    weighed = ranked.select("id", "title_tokens", "author_tokens", "path", "tokens", "title_score", "author_score", "_r", "_b").mapInPandas(weigh, "id long, n_title int, path string, title_score double, author_score double, _copies long")
+    return weighed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("_copies", F.lit(top))))).drop("_copies", "_copy")
 
-    few = asked.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS
-    return held.join(F.broadcast(asked) if few else asked, near).select("_q", "_p").mapInPandas(hit, "_q string, _p string")
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """The scores of every pair."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            t, a = [], []
+            for title, author, pool in zip(p["title_tokens"], p["author_tokens"], p["tokens"], strict=True):
+                pool = list(pool)
+                t.append(sum(T.token_hit(x, pool) >= STRONG for x in title) / len(title) if len(title) else 0.0)
+                a.append(max((T.token_hit(x, pool, substring_ok=False) for x in author), default=0.0))
+            yield pd.DataFrame({"id": p["id"], "n_title": p["title_tokens"].map(len), "path": p["path"], "title_score": t, "author_score": a})
+
+    return pairs.select("id", "title_tokens", "author_tokens", "path", "tokens").mapInPandas(score, "id long, n_title int, path string, title_score double, author_score double")
 
 
 def candidates(recordings: DataFrame, books: DataFrame, top: int = 3, least: float = 0.25, blocked: bool = False) -> DataFrame:
@@ -81,24 +159,10 @@ def candidates(recordings: DataFrame, books: DataFrame, top: int = 3, least: flo
     """
     rec = recordings.withColumns({"title_tokens": T.tokens(F.col("work")), "author_tokens": T.tokens(F.col("author"))}).filter((F.size("title_tokens") > 0) | (F.size("author_tokens") > 0))
     if blocked and least >= 0:
-        some = rec.groupBy("id", "title_tokens", "author_tokens").agg(F.count("*").alias("_r")).withColumn("_q", F.explode(F.array_distinct(F.concat("title_tokens", "author_tokens"))))
-        held = books.groupBy("path", "tokens").agg(F.count("*").alias("_b")).withColumn("_p", F.explode(F.array_distinct("tokens")))
-        pairs = some.join(token_hits(some.select("_q").distinct(), held.select("_p").distinct()), "_q").join(held, "_p")
-        pairs = pairs.drop("_q", "_p").distinct().withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_r") * F.col("_b")))).drop("_n")
+        scored = hit_pairs(rec, books, top, least)
     else:
         few = books.limit(BROADCAST_BOOKS + 1).count() <= BROADCAST_BOOKS
-        pairs = rec.crossJoin(F.broadcast(books) if few else books)  # every pair is scored, as asked
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            t, a = [], []
-            for title, author, pool in zip(p["title_tokens"], p["author_tokens"], p["tokens"], strict=True):
-                pool = list(pool)
-                t.append(sum(T.token_hit(x, pool) >= STRONG for x in title) / len(title) if len(title) else 0.0)
-                a.append(max((T.token_hit(x, pool, substring_ok=False) for x in author), default=0.0))
-            yield pd.DataFrame({"id": p["id"], "n_title": p["title_tokens"].map(len), "path": p["path"], "title_score": t, "author_score": a})
-
-    scored = pairs.select("id", "title_tokens", "author_tokens", "path", "tokens").mapInPandas(score, "id long, n_title int, path string, title_score double, author_score double")
+        scored = score_pairs(rec.crossJoin(F.broadcast(books) if few else books))  # every pair is scored, as asked
     scored = scored.withColumn("score", total_score(F.col("title_score"), F.col("author_score"))).filter(F.col("score") > least)
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("title_score"), F.desc("author_score"), F.desc("path"))
     return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top).withColumn("tier", tier(F.col("title_score"), F.col("author_score"), F.col("n_title")))

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +199,28 @@ def test_blocks_lose_no_candidate(spark):
     assert got[0] == got[1] and {(1, "b1"), (2, "b2"), (3, "b3")} <= {r[:2] for r in got[1]} and len(got[1]) > 5
 
 
+def test_blocks_equal_every_pair(spark):
+    """Repeated tokens, several works of one recording, several books of one path, authors that decide between equal titles."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcde"), rng.integers(4, 9)))
+    known = [word() for _ in range(40)]
+    some = lambda n: [str(x) for x in rng.choice(known, n)]
+    rec = make(spark, [(int(rng.integers(25)), " ".join(some(rng.integers(0, 3))), " ".join([*some(rng.integers(0, 4)), word()])) for _ in range(40)], "id long, author string, work string")
+    books = make(spark, [(f"b{rng.integers(9)}", some(rng.integers(0, 12))) for _ in range(14)], "path string, tokens array<string>")
+    for top in (1, 3):
+        got = [sorted(tuple(r) for r in match.candidates(rec, books, top=top, blocked=x).select("id", "rn", "path", "title_score", "author_score", "score", "tier").collect()) for x in (False, True)]
+        assert got[0] == got[1] and len(got[0]) > 10
+
+
+def test_few_pairs_of_tokens_are_compared(spark):
+    """Tokens of like length without like letters are not compared letter by letter."""
+    q = make(spark, [("".join(x),) for x in itertools.combinations("abcdefghijklmnop", 4)], "_q string")
+    p = q.select(F.col("_q").alias("_p"))
+    assert match.near_pairs(q, p).count() == match.token_hits(q, p).count() == q.count()
+    odd = make(spark, [("",), ("kitaplar",)], "_q string")
+    assert {(r["_q"], r["_p"]) for r in match.token_hits(odd, odd.select(F.col("_q").alias("_p"))).collect()} == {("", ""), ("kitaplar", ""), ("kitaplar", "kitaplar")}
+
+
 def test_verify(spark):
     m = make(spark, [(1, "nenkejan hanim turbesi", "a"), (2, "bir", "a"), (3, "nenkejan hanim turbesi", "none"), (4, "totally other title", "a")], "id long, work string, book string")
     books = make(spark, [("a", "eski nenkejan hanim turbesi eken")], "book string, text string")
