@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from skein.session import share_path
 
@@ -22,9 +23,13 @@ from skein.session import share_path
 FILLER = 0
 #: Cells of the dynamic programme whose choices are held at once; beyond it, a part at a time is computed again.
 CELLS = 1 << 26
+#: Frames whose scores are made at once, and words that are handed on at once.
+PIECE, HANDED = 1 << 13, 1 << 13
 
 Spell = Callable[[str], list[int]]
 Emit = Callable[[np.ndarray], np.ndarray]
+#: First frame, frame after the last, and score of each word.
+Way = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -119,7 +124,79 @@ def _steps(scores: np.ndarray, s: States, bands: np.ndarray, best: np.ndarray, a
     return best
 
 
+def clear_way(scores: np.ndarray, words: list[list[int]]) -> Way | None:
+    """The way of the programme where each frame's best sound alone shows it; None if it does not, whatever the way is.
+
+    Each frame has one best sound; runs of frames with the same are heard. If they are the words' sounds one for one, any
+    other way loses somewhere. If more is heard, the words take the earliest runs that fit, and the filler the others, which
+    costs. That is the best way, and of equal ones the one that the programme takes, if no run left out costs more as filler
+    than a run taken would, and if a frame in a sound that is neither its best nor the filler costs twice that: a run that is
+    not entered costs what it does as filler, or such a frame (of which one may stand for two runs), and no way enters
+    more runs than there are sounds.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    sounds = np.fromiter(itertools.chain.from_iterable(words), np.int64, sizes.sum())
+    n = len(scores)
+    if not n or not len(sounds):
+        return None
+    x = np.ascontiguousarray(scores.T)
+    top = x.max(axis=0)
+    best = x == top
+    if not np.isfinite(top).all() or np.count_nonzero(best) != n:
+        return None
+    label = np.empty(n, np.int64)
+    rows, cols = np.nonzero(best)
+    label[cols] = rows
+    edges = np.flatnonzero(label[1:] != label[:-1]) + 1
+    first, last = np.append(0, edges), np.append(edges, n)
+    heard = label[first]
+    first, last, heard = (v[heard != FILLER] for v in (first, last, heard))
+    if len(heard) == len(sounds):
+        inner = np.ones(len(sounds), bool)
+        inner[np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]] = False
+        inner = np.flatnonzero(inner)
+        if (heard != sounds).any() or (first[inner] != last[inner - 1]).any():
+            return None
+    else:
+        if len(heard) < len(sounds) or sizes.max() > 1:
+            return None
+        taken, at, runs = [], -1, heard.tolist()
+        try:
+            for s in sounds.tolist():
+                at = runs.index(s, at + 1)
+                taken.append(at)
+        except ValueError:
+            return None
+        filled = np.append(0.0, np.cumsum(top - x[FILLER], dtype=float))
+        cost = filled[last] - filled[first]
+        most = np.delete(cost, taken).max()
+        others = np.where(best, -np.inf, x)
+        others[FILLER] = -np.inf
+        if not np.isfinite(filled[-1]) or cost[taken].min() < most or (top - others.max(axis=0)).min() < 2 * most:
+            return None
+        first, last = first[taken], last[taken]
+    # words: from their first sound to their last; those without sounds end where the one before does
+    ends = np.append(0, last)[np.cumsum(sizes)]
+    starts = ends.copy()
+    spoken = sizes > 0
+    starts[spoken] = first[(np.cumsum(sizes) - sizes)[spoken]]
+    gained = np.zeros(len(words))
+    gained[spoken] = np.add.reduceat(np.append(top, 0).astype(float), np.stack([starts[spoken], ends[spoken]], axis=1).ravel())[::2]
+    return starts, ends, gained
+
+
 def monotone(scores: np.ndarray, words: list[list[int]]) -> list[tuple[int, int, float]] | None:
+    """The best way, word by word."""
+    got = best_way(scores, words)
+    return got and list(zip(*(x.tolist() for x in got), strict=True))
+
+
+def best_way(scores: np.ndarray, words: list[list[int]]) -> Way | None:
+    """By the frames' best sounds where these show the way, else by the programme."""
+    return clear_way(scores, words) or programme(scores, words)
+
+
+def programme(scores: np.ndarray, words: list[list[int]]) -> Way | None:
     """First frame, frame after the last, and score of each word: the best way through all frames in order.
 
     Every sound of a word takes at least one frame; between words, before and after them the filler may take any number. Of
@@ -158,14 +235,21 @@ def monotone(scores: np.ndarray, words: list[list[int]]) -> list[tuple[int, int,
         first = firsts.get(w, last)
         last = first + int(sizes[w])
         out.append((first, last, float(gained[first:last].sum())))
-    return out
+    starts, ends, sums = zip(*out, strict=True) if out else ((), (), ())
+    return np.array(starts, np.int64), np.array(ends, np.int64), np.array(sums, float)
 
 
 def align_book(words: list[str], feed: Feed, spell: Spell, rate: float, rules: Rules) -> Iterator[tuple[int, int, int, list[tuple[int, int, float]]]]:
     """Windows of a book: place of the first word, the audio's first frame and the one after its last, committed words."""
+    for i, lo, hi, got in windows(words, feed, spell, rate, rules):
+        yield i, lo, hi, list(zip(*(x.tolist() for x in got), strict=True))
+
+
+def windows(words: list[str], feed: Feed, spell: Spell, rate: float, rules: Rules) -> Iterator[tuple[int, int, int, Way]]:
+    """The same, committed words as arrays."""
     if not feed.reach(int(rules.whole * rate)):
         n = feed.all()
-        got = monotone(feed.take(0, 0, n), [spell(w) for w in words]) if words else None
+        got = best_way(feed.take(0, 0, n), [spell(w) for w in words]) if words else None
         if got:
             yield 0, 0, n, got
         return
@@ -178,12 +262,13 @@ def align_book(words: list[str], feed: Feed, spell: Spell, rate: float, rules: R
         lo = max(feed.first, cursor - lead)
         hi = feed.all() if last else min(cursor + int(rules.seconds * rate), feed.end)
         # a place reached in the lead-in takes the next window back: as much is held before a window as one takes after it
-        got = monotone(feed.take(lo - int(rules.seconds * rate), lo, hi), [spell(w) for w in some])
+        got = best_way(feed.take(lo - int(rules.seconds * rate), lo, hi), [spell(w) for w in some])
         if not got:
             return
-        got = got if last else got[: max(1, len(got) - rules.tail)]
-        yield i, lo, hi, [(lo + a, lo + b, s) for a, b, s in got]
-        i, cursor = i + len(got), lo + got[-1][1]
+        n = len(some) if last else max(1, len(some) - rules.tail)
+        first, after, gained = (x[:n] for x in got)
+        yield i, lo, hi, (lo + first, lo + after, gained)
+        i, cursor = i + n, lo + int(after[-1])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, pa.RecordBatch]]:
@@ -197,32 +282,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bool, pa.
             at += size
 
 
-def align_words(words: DataFrame, frames: DataFrame, spell: Spell, rate: float, key: str = "book", emit: Emit | None = None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+def align_words(words: DataFrame, frames: DataFrame, spell: Spell, rate: float, key: str = "book", emit: Emit | None = None, rules: Rules = Rules(), width: int | None = None) -> DataFrame:  # noqa: B008
     """key, pos, text, start, end, score, window, win_start, win_end of each word that found its place, times in seconds.
 
     words has key, pos and text; frames has key, frame (from 0 on) and scores, an array for each frame: scores of sounds, or
-    what emit turns into them, many frames at once. spell gives a word's sounds. rate: frames a second.
+    what emit turns into them, many frames at once. spell gives a word's sounds. rate: frames a second. Rows may hold many:
+    text as an array has the words from pos on, and with width scores are those of the frames from frame on, so many each.
 
     One book is one task's work, as each window begins where the one before ended; a task holds a book's words and the
     frames of two windows (of books up to rules.whole seconds all, and of the last window what is left), whatever the book's
     length. Windows that go back, one after the other, end at the first frame that is held. Books without words or frames give no rows; a null text has no sounds; words left when the audio ends have no
     rows; a null text counts as an empty one; of frames with one number any order holds.
     """
+    return _aligned(words, frames, spell, rate, key, emit, rules, width, report=False)
+
+
+def align_windows(words: DataFrame, frames: DataFrame, spell: Spell, rate: float, key: str = "book", emit: Emit | None = None, rules: Rules = Rules(), width: int | None = None) -> DataFrame:  # noqa: B008
+    """window_report of align_words, a row for each window and none for its words."""
+    return _aligned(words, frames, spell, rate, key, emit, rules, width, report=True)
+
+
+def _aligned(words: DataFrame, frames: DataFrame, spell: Spell, rate: float, key: str, emit: Emit | None, rules: Rules, width: int | None, report: bool) -> DataFrame:
     share_path(words.sparkSession)
     kind = words.schema[key].dataType.simpleString()
     inner = frames.schema["scores"].dataType.simpleString()
-    text = words.select(F.col(key).alias("key"), F.lit(False).alias("sound"), F.col("pos").cast("long").alias("at"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast(inner).alias("scores"))
-    audio = frames.select(F.col(key).alias("key"), F.lit(True).alias("sound"), F.col("frame").cast("long").alias("at"), F.lit(None).cast("string").alias("text"), F.col("scores"))
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    said = F.transform("text", plain) if isinstance(words.schema["text"].dataType, ArrayType) else F.array(plain("text"))
+    text = words.select(F.col(key).alias("key"), F.lit(False).alias("sound"), F.col("pos").cast("long").alias("at"), said.alias("text"), F.lit(None).cast(inner).alias("scores"))
+    audio = frames.select(F.col(key).alias("key"), F.lit(True).alias("sound"), F.col("frame").cast("long").alias("at"), F.lit(None).cast("array<string>").alias("text"), F.col("scores"))
     # a number of parts of our own, which adaptive plans leave as it is: what a part costs is not its bytes
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = text.unionAll(audio).repartition(4 * parts, "key").sortWithinPartitions("key", "sound", "at")
 
-    def block(piece: pa.RecordBatch) -> np.ndarray:
+    def blocks(piece: pa.RecordBatch) -> Iterator[np.ndarray]:
         got = piece.column(4)
-        flat = got.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(got), -1)
-        return emit(flat) if emit else flat
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = got.flatten().to_numpy(zero_copy_only=False)
+        flat = flat.reshape(-1, width) if width else flat.reshape(len(got), -1)
+        for k in range(0, len(flat), PIECE):
+            some = flat[k : k + PIECE].astype(float)
+            yield emit(some) if emit else some
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        """Columns of each window or of its words."""
         for book, pieces in itertools.groupby(_runs(batches), key=lambda p: p[0]):
             spoken, places = [], []
             pieces = iter(pieces)
@@ -231,26 +332,35 @@ def align_words(words: DataFrame, frames: DataFrame, spell: Spell, rate: float,
                 if sound:
                     rest = piece
                     break
-                places += piece.column(2).to_pylist()
-                spoken += piece.column(3).to_pylist()
+                at, sizes = piece.column(2).to_numpy(zero_copy_only=False), piece.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                places.append(np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
+                spoken += piece.column(3).flatten().to_pylist()
             if rest is None or not spoken:
                 continue
-            feed = Feed(block(p) for p in itertools.chain([rest], (p for _, _, p in pieces)))
-            for window, (i, lo, hi, got) in enumerate(align_book(spoken, feed, spell, rate, rules)):
-                n = len(got)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([book] * n, key_type), pa.array(places[i : i + n], pa.int64()), pa.array(spoken[i : i + n], pa.string()),
-                        pa.array([a / rate for a, _, _ in got]), pa.array([b / rate for _, b, _ in got]), pa.array([s for _, _, s in got]),
-                        pa.array([window] * n, pa.int32()), pa.array([lo / rate] * n), pa.array([hi / rate] * n),
-                    ],
-                    names=[key, "pos", "text", "start", "end", "score", "window", "win_start", "win_end"],
-                )
+            places = np.concatenate(places)
+            feed = Feed(x for p in itertools.chain([rest], (p for _, _, p in pieces)) for x in blocks(p))
+            for window, (i, lo, hi, (first, after, gained)) in enumerate(windows(spoken, feed, spell, rate, rules)):
+                n = len(first)
+                if report:
+                    yield [pa.array([book], key_type), *map(pa.array, (np.array([window], np.int32), places[i : i + n].min(keepdims=True), [n], [lo / rate], [hi / rate], [float(after.max()) / rate]))]
+                    continue
+                yield [pa.array([book] * n, key_type), pa.array(places[i : i + n], pa.int64()), pa.array(spoken[i : i + n], pa.string()),
+                       *map(pa.array, (first / rate, after / rate, gained, np.full(n, window, np.int32), np.full(n, lo / rate), np.full(n, hi / rate)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for line in itertools.chain(lines(batches), [None]):
+            held += [line] if line else []
+            if held and (not line or sum(len(x[0]) for x in held) >= HANDED):
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=names)
+                held = []
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(words.schema[key].dataType)
-    return both.mapInArrow(run, f"{key} {kind}, pos long, text string, start double, end double, score double, window int, win_start double, win_end double")
+    columns = "window int, first long, committed long, win_start double, win_end double, reached double" if report else "pos long, text string, start double, end double, score double, window int, win_start double, win_end double"
+    names = [key, *(c.split()[0] for c in columns.split(", "))]
+    return both.mapInArrow(run, f"{key} {kind}, {columns}")
 
 
 def window_report(aligned: DataFrame, key: str = "book") -> DataFrame:

@@ -13,21 +13,26 @@ from skein.sources import files, hub, media
 
 #: Frames a second, sounds, and how many frames each word takes; a pause of 1 to 3 frames follows, by the word's length.
 RATE, SOUNDS, SPOKEN = 4, 31, 2
+#: Words whose sounds and frames are one row.
+LINE = 250
 SPACES = r"[ \t\r\n]+"
 
 
 def spoken(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Words of the documents, and the frames of their reading: the sound of each frame, 0 for a pause.
+    """Words of the documents, and the frames of their reading: the sound of each frame, 0 for a pause; LINE words a row.
 
     A word sounds by its place, so that no word is taken for its neighbours.
     """
     plain = F.trim(F.regexp_replace("text", SPACES, " "))
-    words = t.documents.filter(F.length(plain) > 0).select(F.col("doc_id").alias("book"), F.posexplode(F.split(plain, " ")).alias("pos", "word"))
-    sound = F.col("pos") % SOUNDS + 1
-    said = words.select("book", F.col("pos").cast("long").alias("pos"), sound.cast("string").alias("text"))
-    pauses = F.length("word") % 3 + 1
-    frames = words.select("book", "pos", F.posexplode(F.concat(F.array_repeat(sound, SPOKEN), F.array_repeat(F.lit(0), pauses.cast("int")))).alias("k", "sound"))
-    return said, frames.select("book", (F.col("pos") * 8 + F.col("k")).alias("frame"), F.array(F.col("sound").cast("float")).alias("scores"))
+    words = t.documents.filter(F.length(plain) > 0).select(F.col("doc_id").alias("book"), F.split(plain, " ").alias("words"))
+    cuts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / LINE).cast("int"))
+    lines = words.select("book", F.posexplode(F.transform(cuts, lambda k: F.slice("words", k * LINE + 1, LINE)))).select("book", (F.col("pos") * LINE).alias("pos"), F.col("col").alias("words"))
+    sound = lambda i: (F.col("pos") + i) % SOUNDS + 1
+    said = lines.select("book", F.col("pos").cast("long").alias("pos"), F.transform("words", lambda w, i: sound(i).cast("string")).alias("text"))
+    # a reading for each sound and length of the pause after it
+    readings = F.array(*(F.array(*map(F.lit, [float(s)] * SPOKEN + [0.0] * pause)).cast("array<float>") for s in range(1, SOUNDS + 1) for pause in (1, 2, 3)))
+    frames = F.flatten(F.transform("words", lambda w, i: F.get(readings, (sound(i) - 1) * 3 + F.length(w) % 3)))
+    return said, lines.select("book", (F.col("pos") * 8).cast("long").alias("frame"), frames.alias("scores"))
 
 
 def emit(heard: np.ndarray) -> np.ndarray:
@@ -63,7 +68,7 @@ SELECT book, "window", first, committed, lo / 4.0 AS win_start, hi / 4.0 AS win_
 @query(WINDOWS)
 def aligned_windows(t: Tables) -> DataFrame:
     """Windows, commits and places reached, from the scores of every frame."""
-    return align.window_report(align.align_words(*spoken(t), spell=spell, rate=RATE, emit=emit))
+    return align.align_windows(*spoken(t), spell=spell, rate=RATE, emit=emit, width=1)
 
 
 #: Batches of 16 documents of like length; a row's cells are the lengths of its words.

@@ -132,3 +132,57 @@ def test_null_texts_have_no_sounds(spark):
     f = spark.createDataFrame([("a", k, v) for k, v in enumerate([[0.0, -9.0, -9.0], [-9.0, 0.0, -9.0], [-9.0, 0.0, -9.0], [-9.0, -9.0, 0.0]])], FRAMES)
     got = align.align_words(w, f, lambda x: [int(x)] if x else [], 1).orderBy("pos").collect()
     assert [(x.text, x.start, x.end) for x in got] == [("1", 1.0, 3.0), ("", 3.0, 3.0), ("2", 3.0, 4.0)]
+
+
+def heard(sounds, rng, kinds=5, other=-8.0, filler=-2.0):
+    """Scores of frames that say the sounds, with pauses."""
+    frames = [s for x in sounds for s in [x] * int(rng.integers(1, 4)) + [0] * int(rng.integers(0, 3))]
+    out = np.full((len(frames), kinds), other)
+    out[:, 0] = filler
+    out[np.arange(len(frames)), frames] = 0.0
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_clear_ways_are_the_programmes(data):
+    """Words of any number of sounds; words before, between and after that the text does not have; costs in and out of the rule."""
+    rng = np.random.default_rng(data.draw(st.integers(0, 99999)))
+    most, extra = data.draw(st.sampled_from([(1, 0), (3, 0), (1, 6)]))
+    words = [[int(s) for s in rng.integers(1, 5, rng.integers(0, most + 1))] for _ in range(data.draw(st.integers(1, 8)))]
+    sounds = [s for w in words for s in w]
+    for _ in range(extra):
+        sounds.insert(int(rng.integers(len(sounds) + 1)), int(rng.integers(1, 5)))
+    scores = heard(sounds, rng, other=data.draw(st.sampled_from([-3.0, -8.0, -20.0])), filler=data.draw(st.sampled_from([-2.0, -1.0, -9.0])))
+    got = align.clear_way(scores, words)
+    assert got is None or list(map(list, got)) == list(map(list, align.programme(scores, words)))
+
+
+def test_clear_readings_take_no_programme(monkeypatch):
+    """A book that is heard as it is written, at once and in windows whose audio goes on."""
+    monkeypatch.setattr(align, "programme", None)
+    said = [k % 4 + 1 for k in range(300)]
+    scores = np.full((1200, 5), -8.0)
+    scores[np.arange(1200), [s for x in said for s in (x, x, 0, 0)]] = 0.0
+    scores[:, 0] = np.where(scores[:, 0] == 0, 0.0, -2.0)
+    for r in (Rules(whole=500.0), Rules(whole=1.0, words=20, seconds=20.0, lead=2.0, tail=3, least=1.0)):
+        got = [x for _, _, _, some in align.align_book(list(map(str, said)), align.Feed(iter([scores])), lambda w: [int(w)], 4, r) for x in some]
+        assert got == [(4 * k, 4 * k + 2, 0.0) for k in range(300)]
+
+
+def test_rows_of_many_words_and_frames(spark):
+    scores = [[0.0, -9.0, -9.0], [-9.0, 0.0, -9.0], [-9.0, 0.0, -9.0], [-9.0, -9.0, 0.0]]
+    one = spark.createDataFrame([("a", 5, "1"), ("a", 6, None), ("a", 7, "2")], WORDS), spark.createDataFrame([("a", k, v) for k, v in enumerate(scores)], FRAMES)
+    many = spark.createDataFrame([("a", 7, ["2"]), ("a", 5, ["1", None])], "book string, pos long, text array<string>"), spark.createDataFrame([("a", 3, scores[3]), ("a", 0, sum(scores[:3], []))], FRAMES)
+    spell = lambda x: [int(x)] if x else []
+    a, b = (sorted(map(tuple, align.align_words(*t, spell, 1, width=w).collect())) for t, w in ((one, None), (many, 3)))
+    assert a == b and len(a) == 3
+
+
+def test_windows_without_their_words(spark):
+    rng = np.random.default_rng(3)
+    w = spark.createDataFrame([(b, k, str(s)) for b, n in (("a", 70), ("b", 5), (None, 30)) for k, s in enumerate(rng.integers(1, 4, n))], WORDS)
+    f = spark.createDataFrame([(b, k, v) for b, n in (("a", 300), ("b", 12), (None, 90)) for k, v in enumerate(rng.normal(size=(n, 4)).tolist())], FRAMES)
+    r = Rules(whole=10.0, words=10, seconds=30.0, lead=2.0, tail=3, least=1.0)
+    said, got = align.window_report(align.align_words(w, f, lambda x: [int(x)], 2, rules=r)), align.align_windows(w, f, lambda x: [int(x)], 2, rules=r)
+    assert said.columns == got.columns and sorted(map(repr, said.collect())) == sorted(map(repr, got.collect())) and got.count() > 10
