@@ -34,7 +34,7 @@ MAX_TRAIN = 20_000
 #: A feature counts if at least this share of the labelled texts that have it are toxic.
 MIN_SHARE = 0.6
 PREFIXES = (4, 5, 6, 7)
-#: Distinct words and stretches that a worker keeps the results of.
+#: Distinct words, stretches and trigrams that a worker keeps the results of.
 CACHE = 300_000
 #: Distinct trigrams that a worker counts before it hands them on.
 FLUSH_GRAMS = 1_000_000
@@ -57,7 +57,7 @@ _SPACED = re.compile(rf"(?<![^\W_]){_SIGN}({_GAP}){_SIGN}(?:\1{_SIGN})+(?![^\W_]
 _LOOSE = re.compile(rf"(?<![^\W_]){_SIGN}(?:{_GAP}{_SIGN}){{2,}}(?![^\W_])")
 #: A stretch of letters and look-alikes, both of them (letters are looked for later).
 _MIXED = re.compile(rf"(?<![\w{_LEET}])[^\W\d]*+[{_LEET}][\w{_LEET}]*+")
-_DOUBLE = re.compile(r"(.)\1")
+_DOUBLE, _RUN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 
 
 @dataclass
@@ -87,6 +87,11 @@ class Letters:
         """How many words were seen."""
         return self.counts.get("^^\0", 0)
 
+    @cached_property
+    def logs(self) -> Logs:
+        """What log gives for each context of two characters and letter; one for all tasks of a worker."""
+        return Logs(self)
+
     def log(self, context: str, letter: str) -> float:
         p = 1 / (self.size * 4)
         for k in (0, 1, 2):
@@ -96,6 +101,20 @@ class Letters:
         return math.log(p)
 
 
+class Logs(dict):
+    """Trigram to its log probability; what was counted before is kept."""
+
+    def __init__(self, letters: Letters):
+        super().__init__()
+        self.letters = letters
+
+    def __missing__(self, gram: str) -> float:
+        out = self.letters.log(gram[:-1], gram[-1])
+        if len(self) < CACHE:
+            self[gram] = out
+        return out
+
+
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """For each sign what it may stand for and the log probability; '' is nothing."""
     out = []
@@ -110,7 +129,8 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             options.append(("", ITSELF))
         else:
             options.append(("", UNREADABLE))
-        options += [(x, AS_LETTER) for x in LOOK.get(c, "")]
+        if c in LOOK:
+            options += [(x, AS_LETTER) for x in LOOK[c]]
         if i < before or i >= after:
             options.append(("", ITSELF))  # punctuation around a word
         elif c in "*!+|(" or c == stretch[i - 1 : i]:
@@ -122,16 +142,17 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
 def likeliest(stretch: str, letters: Letters) -> tuple[float, str]:
     """Log probability and letters of the best path: Viterbi over states of the last two."""
     states: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
+    logs = letters.logs
     for options in lattice(stretch):
         new: dict[str, tuple[float, tuple]] = {}
         for context, (score, path) in states.items():
             for letter, cost in options:
-                total = score + cost + (letters.log(context, letter) if letter else 0.0)
+                total = score + cost + (logs[context + letter] if letter else 0.0)
                 to = context[1] + letter if letter else context
                 if to not in new or total > new[to][0]:
                     new[to] = (total, (path, letter) if letter else path)
         states = new
-    best, path = max(((score + letters.log(context, "$"), path) for context, (score, path) in states.items()), key=lambda x: x[0])
+    best, path = max(((score + logs[context + "$"], path) for context, (score, path) in states.items()), key=lambda x: x[0])
     out = []
     while path:
         path, letter = path
@@ -210,9 +231,20 @@ class Evidence(dict):
         super().__init__()
         self.weights, self.restorer = weights, restorer
         self.starts = {f.lstrip("=").split("|")[0][:4] for f in weights}  # most words begin like no feature
+        self.once = {_RUN.sub(r"\1", x) for x in self.starts}
+
+    def may_tell(self, word: str) -> bool:
+        """False if neither the word nor what it may be without repeats begins like a feature: of a run of one letter some
+        stay, so letters of runs in order are those of the word."""
+        if not _DOUBLE.search(word):
+            return word[:4] in self.starts
+        once = _RUN.sub(r"\1", word)
+        return not word.isalpha() or any(once[:n] in self.once for n in range(1, 5))
 
     def __missing__(self, word: str) -> float:
-        out = max((self.weights.get(f, 0.0) for w in self.restorer.variants(word) if w[:4] in self.starts for f in features(w)), default=0.0)
+        out = 0.0
+        if self.may_tell(word):
+            out = max((self.weights.get(f, 0.0) for w in self.restorer.variants(word) if w[:4] in self.starts for f in features(w)), default=0.0)
         if len(self) < CACHE:
             self[word] = out
         return out

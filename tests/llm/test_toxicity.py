@@ -127,3 +127,26 @@ def test_stretches_of_mostly_signs(spark, model):
     texts = [r.text + x for x in ("", " 1d10t") for r in clean]
     got = rows(tx.score(docs(spark, texts), model))
     assert all(got[i]["score"] < 0.3 for i in range(5)) and all(got[i]["score"] >= 0.3 for i in range(5, 10))
+
+
+def test_a_trigram_is_counted_once(monkeypatch):
+    """However many words it comes in, with the same letters as when it is counted each time."""
+    letters = tx.Letters.learn({"hello": 5, "yellow": 3, "idiot": 2})
+    seen = []
+    real = tx.Letters.log
+    monkeypatch.setattr(tx.Letters, "log", lambda self, context, letter: seen.append(context + letter) or real(self, context, letter))
+    got = [tx.likeliest(x, letters) for x in ("hello", "hellow", "y3llow", "1d10t", "hello")]
+    assert got[0] == got[4] and got[3][1] == "idiot" and len(seen) == len(set(seen)) > 20
+
+
+def test_words_that_can_tell_nothing_are_not_decoded():
+    """Nor does that change any evidence."""
+    rng = random.Random(3)
+    letters = tx.Letters.learn({"hello": 5, "idiot": 9, "moron": 9, "aab": 2})
+    weights = {"=idiot": 3.0, "moro": 2.0, "=aab": 1.0, "idio|5": 1.5}
+    words = ["".join(rng.choice("idotmrnab²") * rng.randint(1, 3) for _ in range(rng.randint(1, 7))) for _ in range(3000)] + ["iidiott", "mmorroon", "aaab"]
+    restorer, all_ = tx.Restorer(letters), tx.Restorer(letters)
+    evidence = tx.Evidence(weights, restorer)
+    want = {w: max((weights.get(f, 0.0) for v in all_.variants(w) for f in tx.features(v)), default=0.0) for w in words}
+    assert {w: evidence[w] for w in words} == want and sum(want.values()) > 3
+    assert len(restorer) < len(all_) / 2
